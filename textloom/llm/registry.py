@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules, sharding
 
-MODULES = (quality_rules,)
+MODULES = (sharding, mixing, quality_rules)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
