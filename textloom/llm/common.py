@@ -59,6 +59,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts reach Python in batches of at most ``rows``: what a worker holds doesn't grow with a partition."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def bucket_count(rows: int, per: int = BUCKET_ROWS) -> int:
     """Power of two: how many buckets hold about ``per`` rows each; at least 256, so that a hot group is spread."""
     return 1 << max(8, math.ceil(math.log2(max(rows, 1) / per)))
