@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, sharding
+from . import jaccard, mixing, packing, quality_rules, sharding
 
-MODULES = (sharding, packing, mixing, quality_rules)
+MODULES = (sharding, packing, jaccard, mixing, quality_rules)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
