@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bounded_batches, saved
 from .components import components
@@ -236,7 +237,7 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node and component (a node) of every document of ``docs``."""
+    """doc_id, text_key (hash of the text), n_shingles, node and component (a node) of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
     free = spark.sparkContext._jvm.System.gc  # lets Spark delete the shuffle files of finished steps
@@ -252,10 +253,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     more = saved(verified(rests(rows, components(links)), full), "more")
     labels = components(links.unionByName(more))
     free()
-    named = found.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
+    named = found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
     return named.withColumn("component", F.coalesce("label", "node")).drop("label")
 
 
+def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, one for each component (that of the smallest id); documents without words all stay."""
+    named = saved(classes(docs, key, text), "classes")
+    first = named.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("m"))
+    first = first.select(F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key"))
+    rows = docs.withColumn("_text_key", F.xxhash64(F.col(text)))
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    stay = rows.where(~wordless).join(first, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    one = Window.partitionBy(key, "_text_key").orderBy(F.lit(0))
+    stay = stay.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    return stay.unionByName(rows.where(wordless)).drop("_text_key")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = saved(classes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "classes")
     ids = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -147,6 +147,22 @@ def taken(rows: DataFrame) -> DataFrame:
     return out.join(known, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
+def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mix as rows of ``docs``: each document as often as it is played, the last time perhaps in part (its first words)."""
+    rows = taken(sized(docs, text, key, source))
+    lists = rows.groupBy("key", "fp").agg(F.sort_array(F.collect_list(F.struct("source", "size", "taken"))).alias("_l")).select(F.col("key").alias("_k"), F.col("fp").alias("_f"), "_l")
+    same = Window.partitionBy(key, "_fp").orderBy(source)
+    put = docs.withColumn("_fp", F.xxhash64(F.col(text))).withColumn("_nth", F.row_number().over(same))
+    put = put.join(lists, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_fp") == F.col("_f"))).withColumn("_t", F.element_at("_l", F.col("_nth")))
+    put = put.where("_t.taken > 0").withColumn("_turn", F.explode(F.expr("sequence(0L, (_t.taken - 1) div _t.size)")))
+    left = F.col("_t.taken") - F.col("_turn") * F.col("_t.size")
+    cut = F.when(left < F.col("_t.size"), F.array_join(F.slice(words(F.col(text)), F.lit(1), left.cast("int")), " ")).otherwise(F.col(text))
+    put = put.withColumn(text, cut)
+    if "n_chars" in docs.columns:
+        put = put.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return put.select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return taken(rows).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
