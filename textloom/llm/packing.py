@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,59 +34,53 @@ VOCABULARY = "word_bpe_49k.json"
 class Ids:
     """A tokenizer's ids of whole texts as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so ids of a text are those of its
-    white-space-free parts in order; what is known of parts is kept, up to ``keep`` of them.
+    The tokenizer splits a lower-cased text by rule and merges inside the pieces only, so ids of a text are
+    those of its pieces in order. Pieces met before are kept, up to ``keep`` of them. Texts of characters
+    beyond Latin-1, for which lower case and classes may differ between libraries, go to the tokenizer whole.
     """
 
-    #: Latin-1 after lower-casing, by the tokenizer's own split rule.
+    #: The tokenizer's own split rule, for lower-case Latin-1.
     _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 900_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep = keep
-        self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        """Puts the ids of parts into self.parts."""
-        plain = [p for p in missing if p.isascii() or max(p) <= "\xff"]
-        odd = [p for p in missing if not (p.isascii() or max(p) <= "\xff")]
-        self.parts.update(zip(odd, self.whole(odd), strict=True))
-        split = [self._SPLIT.findall(p.lower()) for p in plain]
-        if len(self.pieces) > self.keep:
-            self.pieces.clear()
-        new = list({x for s in split for x in s if x not in self.pieces})
-        self.pieces.update(zip(new, self.whole(new), strict=True))
-        self.parts.update(zip(plain, (b"".join(map(self.pieces.__getitem__, s)) for s in split), strict=True))
-
-    def of(self, text: str) -> bytes:
+    def split(self, text: str) -> list[str] | None:
+        """A text's pieces; None if only the tokenizer can tell."""
         # these four are white space to Python alone
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.whole([text])[0]
-        parts = text.split()
+            return None
         try:
-            return b"".join(map(self.parts.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(self.parts) > self.keep:
-            self.parts.clear()
-        self._learn(list({p for p in parts if p not in self.parts}))
-        return b"".join(map(self.parts.__getitem__, parts))
-
-    def prepare(self, texts: Iterable[str]) -> None:
-        """Learns the parts of many texts at once."""
-        if len(self.parts) > self.keep:
-            self.parts.clear()
-        missing = {p for t in texts for p in t.split() if p not in self.parts}
-        if missing:
-            self._learn(list(missing))
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return self._SPLIT.findall(text.lower())
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.pieces
+        for at in range(0, len(texts), 64):
+            part = texts[at : at + 64]
+            if len(known) > self.keep:
+                known.clear()
+            split = [self.split(t) for t in part]
+            found = [None if s is None else list(map(known.get, s)) for s in split]
+            gaps = {p for s, f in zip(split, found, strict=True) if s for p, ids in zip(s, f, strict=True) if ids is None}
+            new = list(gaps)
+            known.update(zip(new, self.whole(new), strict=True))
+            for t, s, f in zip(part, split, found, strict=True):
+                if s is None:
+                    yield self.whole([t])[0]
+                else:
+                    yield b"".join(ids if ids is not None else known[p] for p, ids in zip(s, f, strict=True)) if None in f else b"".join(f)
 
 
 @lru_cache(maxsize=2)
@@ -111,8 +105,9 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
         mark = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                raw = (ids.of(text) if isinstance(text, str) else b"") + mark
+            texts = [t if isinstance(t, str) else "" for t in batch["text"].tolist()]
+            for doc, raw in zip(batch["doc_id"].tolist(), ids.of(texts), strict=True):
+                raw += mark
                 n = len(raw) // 4
                 doc = None if doc is None or doc != doc else int(doc)
                 for at in range(0, n, capacity):
