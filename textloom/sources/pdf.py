@@ -27,9 +27,12 @@ class BadFilter(ValueError):
 def _flate(data: bytes) -> bytes:
     for bits in (15, -15):
         try:
-            return zlib.decompressobj(bits).decompress(data)
+            stream = zlib.decompressobj(bits)
+            out = stream.decompress(data)
         except zlib.error:
             continue
+        if stream.eof:
+            return out
     raise BadFilter("inflate")
 
 
