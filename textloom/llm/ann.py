@@ -8,7 +8,7 @@ Equal vectors are one entry with its smallest ids, so copies are searched once a
 ids. A part is searched in blocks of at most about ``BLOCK`` vectors against blocks of queries.
 
 Edge cases: vectors that are null, of another length than most, zero or with null or non-finite components
-take no part; repeated ids count each; fewer candidates than k are all returned; an empty table gives an
+take no part, nor do rows with a null id; repeated ids count each; fewer candidates than k are all returned; an empty table gives an
 empty result.
 """
 
@@ -141,7 +141,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
-    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(ok)
+    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(ok & F.col("vec_id").isNotNull())
     rows = clean(vectors)
     # of equal vectors the k + 1 smallest ids can be asked for (one may be the query's own); tasks cut theirs first
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1)

@@ -197,11 +197,13 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [main_text(h) for h in b[html].tolist()]
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            texts = [main_text(h) for h in b["html"].tolist()]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     bounded_batches(pages.sparkSession)
-    return pages.selectExpr("cast(page_id as long) page_id", "url", html).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    # ids pass through Python as text: pandas would make nullable ones floats
+    rows = pages.selectExpr("cast(page_id as string) page_id", "url", f"`{html}` html").mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return rows.selectExpr("cast(page_id as long) page_id", "url", "text", "n_chars")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ class Scanner:
         return sorted(out, key=lambda x: (x[1], -x[3], x[0]))
 
 
-FOUND = "doc_id long, n_notices int, licenses array<string>, best_license string, best_coverage double, notices array<struct<license:string,start:int,end:int,coverage:double>>"
+FOUND = "doc_id string, n_notices int, licenses array<string>, best_license string, best_coverage double, notices array<struct<license:string,start:int,end:int,coverage:double>>"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float = COVER) -> DataFrame:
@@ -168,10 +168,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
                 best = max(got, key=lambda x: (x[3], x[2] - x[1]), default=None)
                 rows.append((doc, len(got), sorted({g[0] for g in got}), best and best[0], best and best[3], [dict(zip(("license", "start", "end", "coverage"), g, strict=True)) for g in got]))
             out = pd.DataFrame(rows, columns=["doc_id", "n_notices", "licenses", "best_license", "best_coverage", "notices"])
-            yield out.astype({"doc_id": "Int64", "best_coverage": "Float64"})
+            yield out.astype({"best_coverage": "Float64"})
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, FOUND)
+    # ids pass through Python as text: pandas would make nullable ones floats
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, FOUND)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

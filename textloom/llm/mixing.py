@@ -151,16 +151,20 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     """The mix as rows of ``docs``: each document as often as it is played, the last time perhaps in part (its first words)."""
     rows = taken(sized(docs, text, key, source))
     lists = rows.groupBy("key", "fp").agg(F.sort_array(F.collect_list(F.struct("source", "size", "taken"))).alias("_l")).select(F.col("key").alias("_k"), F.col("fp").alias("_f"), "_l")
-    same = Window.partitionBy(key, "_fp").orderBy(source)
-    put = docs.withColumn("_fp", F.xxhash64(F.col(text))).withColumn("_nth", F.row_number().over(same))
-    put = put.join(lists, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_fp") == F.col("_f"))).withColumn("_t", F.element_at("_l", F.col("_nth")))
+    same = Window.partitionBy("_id", "_fp").orderBy("_source")
+    # the row travels as one value, so no column of it can clash
+    put = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_fp"))
+    put = put.withColumn("_nth", F.row_number().over(same))
+    put = put.join(lists, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_fp") == F.col("_f"))).withColumn("_t", F.element_at("_l", F.col("_nth")))
     put = put.where("_t.taken > 0").withColumn("_turn", F.explode(F.expr("sequence(0L, (_t.taken - 1) div _t.size)")))
     left = F.col("_t.taken") - F.col("_turn") * F.col("_t.size")
-    cut = F.when(left < F.col("_t.size"), F.array_join(F.slice(words(F.col(text)), F.lit(1), left.cast("int")), " ")).otherwise(F.col(text))
-    put = put.withColumn(text, cut)
+    part = left < F.col("_t.size")
+    put = put.withColumn("_text", F.when(part, F.array_join(F.slice(words(F.col("_text")), F.lit(1), left.cast("int")), " ")).otherwise(F.col("_text")))
+    row = F.col("_row").withField(text, F.col("_text"))
     if "n_chars" in docs.columns:
-        put = put.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return put.select(*docs.columns)
+        n = F.when(part, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+        row = row.withField("n_chars", n)
+    return put.select(row.alias("_row")).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

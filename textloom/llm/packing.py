@@ -109,14 +109,15 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
             for doc, raw in zip(batch["doc_id"].tolist(), ids.of(texts), strict=True):
                 raw += mark
                 n = len(raw) // 4
-                doc = None if doc is None or doc != doc else int(doc)
                 for at in range(0, n, capacity):
                     part = raw[4 * at : 4 * (at + capacity)]
                     out.append((doc, at, len(part) // 4, zlib.crc32(part), n))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    # ids pass through Python as text: pandas would make nullable ones floats
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, PIECES.replace("doc_id long", "doc_id string"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[int]:
@@ -213,7 +214,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[group] = rows[k, 3] + inside % rows[k, 1] * lengths[group]
             yield b.assign(sequence_id=sequence, offset=offset)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInPandas(run, PACKED)
+    return ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "rank").mapInPandas(run, PACKED.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

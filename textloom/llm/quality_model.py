@@ -214,7 +214,7 @@ VIEWS = "text_score double, meta_score double, score double"
 
 
 def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, text_key, text_score, meta_score and score (probability of good quality) of every row."""
+    """doc_id, text_score, meta_score and score (probability of good quality) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights and a few more
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,11 +229,12 @@ def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
                 a = m.text_cal[0] * weigh.logit(t) + m.text_cal[1]
                 c = m.meta_cal[0] * float(metadata_view(t, s if isinstance(s, str) else None, g if isinstance(g, str) else None) @ m.meta.w + m.meta.b) + m.meta_cal[1]
                 out[i] = [1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) for z in (a, c, (a + c) / 2)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"].astype("Int64"), "text_score": out[:, 0], "meta_score": out[:, 1], "score": out[:, 2]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_score": out[:, 0], "meta_score": out[:, 1], "score": out[:, 2]})
 
     bounded_batches(docs.sparkSession)
-    rows = _with_columns(docs).withColumn("text_key", F.xxhash64("text", "source", "lang"))
-    return rows.mapInPandas(run, "doc_id long, text_key long, " + VIEWS)
+    # ids pass through Python as text: pandas would make nullable ones floats
+    rows = _with_columns(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, " + VIEWS)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class Weighed:

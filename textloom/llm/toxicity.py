@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     return fit([bag(t) for t, _ in rows], [y for _, y in rows])
 
 
-SCORED = "doc_id long, score double, n_sentences int, offending array<struct<start:int,end:int,p:double>>"
+SCORED = "doc_id string, score double, n_sentences int, offending array<struct<start:int,end:int,p:double>>"
 
 
 def scored(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
@@ -173,12 +173,14 @@ def scored(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
         for b in batches:
             got = [score(t, bias, known) for t in b["text"].tolist()]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "score": [g[0] for g in got], "n_sentences": [g[1] for g in got],
+                "doc_id": b["doc_id"], "score": [g[0] for g in got], "n_sentences": [g[1] for g in got],
                 "offending": [[{"start": s, "end": e, "p": p} for s, e, p in g[2]] for g in got],
             })
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCORED)
+    # ids pass through Python as text: pandas would make nullable ones floats
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, SCORED)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
