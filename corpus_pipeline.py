@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import jaccard, mixing, packing, quality_model, quality_rules
 from textloom.llm.common import saved
@@ -10,7 +11,9 @@ from textloom.llm.common import saved
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the production policy."""
-    return quality_rules.ledger(docs).where(quality_rules.kept()).select(*docs.columns)
+    # the row travels as one value, so no column of it can clash with a measurement
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return quality_rules.ledger(rows).where(quality_rules.kept()).select("_row.*")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
