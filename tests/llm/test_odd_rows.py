@@ -8,7 +8,7 @@ import pytest
 from textloom.llm import registry
 
 BIG = 2**60 + 1
-DOCS = [k for k in registry.QUERIES if k not in ("op5_html", "op8_ann", "op9_ablations", "op2_packing")]
+DOCS = [k for k in registry.QUERIES if k not in ("op5_html", "op8_ann", "quality_ablations", "op2_packing")]
 
 
 @pytest.mark.parametrize("name", DOCS)
@@ -17,7 +17,7 @@ def test_every_row_stays(spark, folder, odd_rows, name):
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in odd_rows)
 
 
-@pytest.mark.parametrize("name", [k for k in registry.QUERIES if k != "op9_ablations"])
+@pytest.mark.parametrize("name", [k for k in registry.QUERIES if k != "quality_ablations"])
 def test_empty_tables(spark, bare, name):
     assert registry.QUERIES[name](spark, bare).count() == 0
 
@@ -61,7 +61,7 @@ def test_near_copies(spark, folder):
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
     assert [r.component_id for r in by[BIG]] == [4, 4] and by[4][0].component_id == 4
-    assert {(r.n_shingles, r.component_id) for r in by[None]} == {(19, 4), (1, 5)}
+    assert {(r.n_shingles, r.component_id) for r in by[None]} == {(20, 4), (1, 5)}
     assert [(by[i][0].n_shingles, by[i][0].component_id) for i in (1, 2, 3)] == [(0, 1), (0, 2), (0, 3)]
     assert by[5][0].n_shingles == 1 and by[6][0].n_shingles == 30_000 - 4
 

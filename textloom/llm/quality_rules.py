@@ -142,7 +142,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op9_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")))
 
 
@@ -178,7 +178,7 @@ SQL = {
     "op9_quality_rules": f"""WITH {_MEASURES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM ledger""",
-    "op9_ablations": f"""WITH {_MEASURES},
+    "quality_ablations": f"""WITH {_MEASURES},
 rules(rule, bit) AS (VALUES ('too_short', 1), ('repetitive', 2), ('symbols', 4), ('duplicate_lines', 8), ('shouting', 16), ('word_length', 32)),
 policies(policy, mask) AS (VALUES ('v1_base', 3), ('v2_symbols', 15), ('v3_full', 63))
 SELECT policy, rule, CAST(count(*) FILTER (WHERE fail_bits & bit <> 0) AS BIGINT) AS n_failed,
@@ -186,4 +186,4 @@ SELECT policy, rule, CAST(count(*) FILTER (WHERE fail_bits & bit <> 0) AS BIGINT
   CAST(count(*) FILTER (WHERE fail_bits & mask & ~bit = 0) AS BIGINT) AS n_kept_without
 FROM policies JOIN rules ON mask & bit <> 0 CROSS JOIN ledger GROUP BY policy, rule""",
 }
-QUERIES = {"op9_quality_rules": op9_quality_rules, "op9_ablations": op9_ablations}
+QUERIES = {"op9_quality_rules": op9_quality_rules, "quality_ablations": quality_ablations}
