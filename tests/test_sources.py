@@ -68,7 +68,7 @@ def test_pdf_reader(spark, tmp_path):
 
 def test_config(tmp_path, monkeypatch):
     (tmp_path / "c.yaml").write_text('chunking:\n  max_words: 100 # words\n  overlap: "10"\ndecision_engine:\n  limiar_recusa: 0.4\n', encoding="utf-8")
-    (tmp_path / "o.json").write_text(json.dumps({"chunking": {"overlap": 5}, "deepseek": {"api_key": "x"}}), encoding="utf-8")
+    (tmp_path / "o.json").write_text(json.dumps({"chunking": {"overlap": 5}, "remote": {"api_key": "x"}}), encoding="utf-8")
     s = config.load_config(str(tmp_path / "c.yaml"), str(tmp_path / "o.json"), top_k=7)
     assert (s.max_words, s.overlap, s.threshold, s.top_k, s.extra) == (100, 5, 0.4, 7, {})
     for kind, t in (("choice", "[C:{{trecho}}|p{{pagina}}]"), ("score", '{"enunciado": "[S:{{min}}-{{max}}]"}')):
