@@ -31,8 +31,8 @@ MAX_POOL = 2000
 MAX_TRAIN_CHARS = 20_000
 ROUNDS = 4
 SURE = 100
-#: Documents scoring below this are rejected.
-KEEP = 0.5
+#: Documents scoring below this are rejected: those four times likelier to be bad than good.
+KEEP = 0.2
 DIM = 1 << 15
 
 _SHAPE = [(re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[0-9]+"), "0")]
