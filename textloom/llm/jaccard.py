@@ -19,6 +19,7 @@ sorted array each; an empty table gives an empty result. Tokens and nodes are 64
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ NEED = 80
 WORDS = 5
 #: Rows of a block when a bucket's rest is compared; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
+#: Buckets of at most so many nodes are joined with themselves.
+SMALL = 64
 
 
 class _Hashes(dict):
@@ -105,12 +108,14 @@ def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             found = [shingles(t) for t in b["text"].tolist()]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "n": np.array([len(s) for s in found], np.int64),
+                "doc_id": b["doc_id"], "text_key": b["text_key"], "n": np.array([len(s) for s in found], np.int64),
                 "node": np.array([node_of(s) for s in found], np.int64), "prefix": [s[: prefix(len(s))] for s in found],
             })
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_key long, n long, node long, prefix array<long>")
+    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    # ids pass through Python as text: pandas would make nullable ones floats
+    rows = rows.mapInPandas(run, "doc_id string, text_key long, n long, node long, prefix array<long>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def heavy_tokens(tokens: DataFrame, part: int = 64, most: int = 65536) -> DataFrame:
@@ -125,21 +130,22 @@ def heavy_tokens(tokens: DataFrame, part: int = 64, most: int = 65536) -> DataFr
     return counts.where(F.col("c") >= F.lit(max(16, -(-rows // most)))).select("token")
 
 
-def suspects(prefixes: DataFrame) -> DataFrame:
-    """Nodes that may link with others (filter 1); prefixes: node, n, prefix, a row for each node."""
-    tokens = prefixes.where("n > 0").select("node", "n", F.explode("prefix").alias("token"))
+def suspects(found: DataFrame) -> DataFrame:
+    """node, text_key of nodes that may link with others (filter 1); found: rows of ``sets``, copies and all.
+
+    Tokens are shuffled once. A token is shared if its smallest and largest node differ; those of very many
+    rows are known from a sample and don't meet in one task.
+    """
+    tokens = found.where("n > 0").select("node", F.explode("prefix").alias("token"))
     heavy = F.broadcast(heavy_tokens(tokens))
-    pairs = tokens.select("node", "token")
-    # a token is known to be shared as soon as it has two nodes: what is gathered for a token is two numbers
-    ends = pairs.join(heavy, "token", "left_anti").groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("c")).where("a <> b")
-    some = saved(ends, "ends")
-    both = some.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("k"))
-    # tokens of three nodes and more come again in full; those of two are in ``both`` already
-    more = pairs.join(some.where("c > 2").select("token", "a", "b"), "token").where("node <> a and node <> b").select("node", F.lit(1).cast("long").alias("k"))
-    hot = pairs.join(heavy, "token", "left_semi").select("node", F.lit(1).cast("long").alias("k"))
-    shared = both.unionByName(more).unionByName(hot).groupBy("node").agg(F.sum("k").alias("shared"))
+    all_of = Window.partitionBy("token")
+    rare = tokens.join(heavy, "token", "left_anti").withColumn("a", F.min("node").over(all_of)).withColumn("b", F.max("node").over(all_of)).where("a <> b")
+    hot = tokens.join(heavy, "token", "left_semi")
+    # copies repeat their tokens: each counts once for a node
+    shared = rare.select("node", "token").unionByName(hot.select("node", "token")).groupBy("node", "token").agg(F.lit(1).alias("k")).groupBy("node").agg(F.count("*").alias("shared"))
+    nodes = found.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"))
     need = F.expr("(5 * ((80 * n + 99) div 100) + 99) div 100")
-    return shared.join(prefixes.select("node", "n", "text_key"), "node").where(F.col("shared") >= need).select("node", "text_key")
+    return shared.join(nodes, "node").where(F.col("shared") >= need).select("node", "text_key")
 
 
 def full_sets(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
@@ -152,7 +158,7 @@ def full_sets(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
             found = [shingles(t) for t in b["text"].tolist()]
             yield pd.DataFrame({"node": np.array([node_of(s) for s in found], np.int64), "n": np.array([len(s) for s in found], np.int64), "tokens": found})
 
-    return wanted.select("text").mapInPandas(run, "node long, n long, tokens array<long>").dropDuplicates(["node"])
+    return wanted.select("text").mapInPandas(run, "node long, n long, tokens array<long>")
 
 
 def positions(full: DataFrame) -> DataFrame:
@@ -187,6 +193,11 @@ def rests(rows: DataFrame, labels: DataFrame) -> DataFrame:
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     put = named.join(mixed.select("token", "c"), "token")
+    small = put.where(f"c <= {SMALL}").select("token", "node", "n", "pos", "label")
+    other = small.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("theirs"))
+    meet = small.join(other, "token").where("node < b and label <> theirs").where(_room("n", "pos", "m", "at"))
+    found = meet.select(F.col("node").alias("a"), "b")
+    put = put.where(f"c > {SMALL}")
     # a large bucket becomes pairs of blocks; no task gets more than two blocks of it
     n = F.expr(f"((c - 1) div {BLOCK}) + 1")
     put = put.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -210,7 +221,7 @@ def rests(rows: DataFrame, labels: DataFrame) -> DataFrame:
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pd.DataFrame({"a": join(out_a), "b": join(out_b)})
 
-    return put.groupBy("token", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return found.unionByName(put.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")).distinct()
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -240,10 +251,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, text_key (hash of the text), n_shingles, node and component (a node) of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    free = spark.sparkContext._jvm.System.gc  # lets Spark delete the shuffle files of finished steps
+
+    def free() -> None:
+        """Lets Spark delete the shuffle files of finished steps."""
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
     found = saved(sets(docs, key, text), "sets")
-    nodes = found.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("prefix").alias("prefix"))
-    keys = saved(suspects(nodes), "suspects")
+    keys = saved(suspects(found), "suspects")
     free()
     full = saved(full_sets(docs, text, keys), "full")
     free()
@@ -261,13 +276,13 @@ def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """The rows of ``docs``, one for each component (that of the smallest id); documents without words all stay."""
     named = saved(classes(docs, key, text), "classes")
     first = named.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("m"))
-    first = first.select(F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key"))
-    rows = docs.withColumn("_text_key", F.xxhash64(F.col(text)))
-    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    stay = rows.where(~wordless).join(first, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    one = Window.partitionBy(key, "_text_key").orderBy(F.lit(0))
-    stay = stay.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
-    return stay.unionByName(rows.where(wordless)).drop("_text_key")
+    first = first.select(F.col("m.doc_id").alias("first_id"), F.col("m.text_key").alias("first_key"))
+    # the row travels as one value, so no column of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_text_key"), F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_words"))
+    stay = rows.where("_words").join(first, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_text_key") == F.col("first_key")), "left_semi")
+    one = Window.partitionBy("_id", "_text_key").orderBy(F.lit(0))
+    stay = stay.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_row")
+    return stay.unionByName(rows.where("not _words").select("_row")).select("_row.*")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
