@@ -175,6 +175,24 @@ def test_pages_without_article():
     assert html_text.main_text("<article><p>x < y &amp;lt; z<script>var a='</p>'</script><form>f</form></article>") == "x < y &lt; z"
 
 
+def _paragraphs(word, n):
+    return "".join(f"<p>{word} paragraph {i} tells a fair number of words about the matter at hand, and then some more.</p>" for i in range(n))
+
+
+def test_body_beside_a_teaser_article():
+    menu = "<div id=menu><a href=a>Home</a> <a href=b>Other</a></div>"
+    page = f"<body>{menu}<div id=content><h1>Title</h1>{_paragraphs('Body', 6)}</div><article class=card><a href=x>Teaser</a><p>Read on here.</p></article><div>Imprint</div></body>"
+    got = html_text.main_text(page)
+    assert got.startswith("Title Body paragraph 0") and got.count("Body") == 6 and "Teaser" not in got and "Imprint" not in got
+
+
+@pytest.mark.parametrize("sizes", [(3, 3, 3), (3, 6, 9), (1, 1, 1)])
+def test_sibling_articles(sizes):
+    parts = "".join(f"<article><h2>Part {k}</h2>{_paragraphs(f'P{k}', n)}</article>" for k, n in enumerate(sizes))
+    got = html_text.main_text(f"<body><div id=menu><a href=a>Home</a> <a href=b>Other</a></div><div>{parts}</div><div>Imprint</div></body>")
+    assert [got.count(f"P{k} paragraph") for k in range(3)] == list(sizes) and "Home" not in got and "Imprint" not in got
+
+
 def test_recall(spark, sf_dir):
     rows = ann.op8_ann(spark, sf_dir).collect()
     data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()

@@ -5,7 +5,8 @@ article.
 What can't be article (scripts, forms, menus, page headers and footers, asides, and elements that their class,
 id or role names as advert, notice, sidebar or comments) is left out before densities are computed. If the
 chosen node lies in an <article> or <main>, that whole element is taken, so a heading outside the densest
-part stays.
+part stays; the <article>s beside it that are as dense as the article must be are taken too (a post in parts, a
+list of posts). Such elements elsewhere on the page change nothing.
 
 Edge cases: null, empty and tag-only pages give an empty text; pages may be cut off anywhere (open elements
 end with the page, an unclosed comment or script hides the rest); repeated rows and null ids pass through;
@@ -186,10 +187,10 @@ def main_text(html: str | None) -> str:
         if n.name in ("article", "main"):
             chosen = n
         n = n.parent
-    if chosen.name not in ("article", "main"):
-        whole = [n for n in nodes if n.name in ("article", "main") and n.chars]
-        chosen = max(whole, key=lambda n: n.chars, default=chosen)
-    return " ".join("".join(parts[chosen.first : chosen.past]).split())
+    taken = [chosen]
+    if chosen.name == "article":
+        taken = [n for n in chosen.parent.children if n is chosen or n.name == "article" and n.density >= threshold]
+    return " ".join(" ".join("".join(parts[n.first : n.past]) for n in taken).split())
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
