@@ -458,35 +458,44 @@ def coverage(s, d):
 # --- evaluation
 
 
-def _sample(s, d, c=None):
-    # the cap of 200 is the evaluation's own: it is a sample
-    return evaluation.sample_by_hash(questions.generate(c if c is not None else _chunks(s, d, True).cache()), 0.005, 42, 200)
+#: Share of the questions and the most of them. SMALL is what the SQL twins can rank in time, set for cost;
+#: the queries named full take the shares that evaluation and calibration have by default, without a cap.
+SMALL, EVAL, CALIBRATION = (0.005, 200), (0.1, None), (0.5, None)
 
 
-def _evaluated(s, d):
+def _sample(s, d, c=None, size=SMALL):
+    return evaluation.sample_by_hash(questions.generate(c if c is not None else _chunks(s, d, True).cache()), size[0], 42, size[1])
+
+
+def _evaluated(s, d, size=SMALL):
     c = _chunks(s, d, True).cache()
     i = index.build_index(c).cached()
-    asked = _sample(s, d, c).cache()
+    asked = _sample(s, d, c, size).cache()
     q = ranking.questions_of(asked, "q_id", "prompt")
     r = ranking.top_k(i, q)
     return i, asked, q, r
 
 
-def _outcomes(s, d):
-    i, asked, q, r = _evaluated(s, d)
+def _outcomes(s, d, size=SMALL):
+    i, asked, q, r = _evaluated(s, d, size)
     return evaluation.outcomes(ranking.decide(i, q, r), asked)
 
 
-def _points(s, d):
-    i, _, _, r = _evaluated(s, d)
+def _points(s, d, size=SMALL):
+    i, _, _, r = _evaluated(s, d, size)
     p = ranking.questions_of(evaluation.probes(s), "q_id", "question")
     best = lambda x, y: x.where("rank = 1").select("score", F.lit(y).alias("y"))
     return best(r, 1).unionByName(best(ranking.top_k(i, p), 0))
 
 
 @registered("sample_hash", "SELECT q_id FROM sampled", "sampled")
-def sample_hash(s, d):
-    return _sample(s, d).select("q_id")
+def sample_hash(s, d, size=SMALL):
+    return _sample(s, d, size=size).select("q_id")
+
+
+@registered("sample_hash_full")
+def sample_hash_full(s, d):
+    return sample_hash(s, d, EVAL)
 
 
 @registered("sample_fy")
@@ -496,24 +505,44 @@ def sample_fy(s, d):
 
 @registered("eval_report", """SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 6) AS fidelity, round(avg(confidence), 6) AS mean_confidence, round(abs(avg(confidence) - avg(hit)), 6) AS gap,
   CAST(sum(CAST(refused AS INTEGER)) AS BIGINT) AS refused_in_scope FROM outcomes""", "outcomes")
-def eval_report(s, d):
-    r = evaluation.report(_outcomes(s, d))
+def eval_report(s, d, size=SMALL):
+    r = evaluation.report(_outcomes(s, d, size=size))
     return r.withColumns({c: F.round(c, 6) for c in ("fidelity", "mean_confidence", "gap")})
 
 
+@registered("eval_report_full")
+def eval_report_full(s, d):
+    return eval_report(s, d, EVAL)
+
+
 @registered("ece_bins", "SELECT bin, n, round(accuracy, 6) AS accuracy, round(mean_confidence, 6) AS mean_confidence FROM bins", "bins")
-def ece_bins(s, d):
-    return evaluation.ece_bins(_outcomes(s, d)).withColumns({c: F.round(c, 6) for c in ("accuracy", "mean_confidence")})
+def ece_bins(s, d, size=SMALL):
+    return evaluation.ece_bins(_outcomes(s, d, size=size)).withColumns({c: F.round(c, 6) for c in ("accuracy", "mean_confidence")})
+
+
+@registered("ece_bins_full")
+def ece_bins_full(s, d):
+    return ece_bins(s, d, EVAL)
 
 
 @registered("ece", "SELECT round(sum(n * abs(accuracy - mean_confidence)) / sum(n), 6) AS ece FROM bins", "bins")
-def ece(s, d):
-    return evaluation.ece(evaluation.ece_bins(_outcomes(s, d))).select(F.round("ece", 6).alias("ece"))
+def ece(s, d, size=SMALL):
+    return evaluation.ece(evaluation.ece_bins(_outcomes(s, d, size=size))).select(F.round("ece", 6).alias("ece"))
+
+
+@registered("ece_full")
+def ece_full(s, d):
+    return ece(s, d, EVAL)
 
 
 @registered("eval_by_type", "SELECT type, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits FROM outcomes GROUP BY type", "outcomes")
-def eval_by_type(s, d):
-    return evaluation.by_type(_outcomes(s, d))
+def eval_by_type(s, d, size=SMALL):
+    return evaluation.by_type(_outcomes(s, d, size=size))
+
+
+@registered("eval_by_type_full")
+def eval_by_type_full(s, d):
+    return eval_by_type(s, d, EVAL)
 
 
 @registered("probe_refusals", "SELECT count(*) AS n, CAST(sum(CAST(refused AS INTEGER)) AS BIGINT) AS refused FROM probe_decisions", "probe_decisions")
@@ -524,15 +553,25 @@ def probe_refusals(s, d):
 
 
 @registered("calib_points", "SELECT y, count(*) AS n, round(min(score), 6) AS least, round(max(score), 6) AS most FROM points GROUP BY y", "points")
-def calib_points(s, d):
-    return _points(s, d).groupBy("y").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
+def calib_points(s, d, size=SMALL):
+    return _points(s, d, size=size).groupBy("y").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
+
+
+@registered("calib_points_full")
+def calib_points_full(s, d):
+    return calib_points(s, d, CALIBRATION)
 
 
 @registered("confusion", """SELECT round(tpr, 6) AS tpr, round(tnr, 6) AS tnr, round((tpr + tnr) / 2, 6) AS balanced, round(abs(mc - acc), 6) AS gap FROM (
   SELECT coalesce(sum(yes * y) / nullif(sum(y), 0), 1) AS tpr, coalesce(sum((1 - yes) * (1 - y)) / nullif(sum(1 - y), 0), 1) AS tnr, avg(c) AS mc, avg(CASE WHEN yes = y THEN 1.0::DOUBLE ELSE 0 END) AS acc FROM (
     SELECT *, CAST(c >= 0.3::DOUBLE AS INTEGER) AS yes FROM (SELECT y, 1 / (1 + exp(-greatest(-20, least(20, (score - 0.12::DOUBLE) * 12)))) AS c FROM points)))""", "points")
-def confusion(s, d):
-    return evaluation.confusion(_points(s, d)).select(*[F.round(c, 6).alias(c) for c in ("tpr", "tnr", "balanced", "gap")])
+def confusion(s, d, size=SMALL):
+    return evaluation.confusion(_points(s, d, size=size)).select(*[F.round(c, 6).alias(c) for c in ("tpr", "tnr", "balanced", "gap")])
+
+
+@registered("confusion_full")
+def confusion_full(s, d):
+    return confusion(s, d, CALIBRATION)
 
 
 @registered("calib_grid", "SELECT * FROM grid", "grid")
@@ -545,15 +584,25 @@ def calib_grid(s, d):
     SELECT ci, si, li, center, slope, threshold, sum(yes * y) / sum(y) AS tpr, sum((1 - yes) * (1 - y)) / sum(1 - y) AS tnr, avg(c) AS mc, avg(CASE WHEN yes = y THEN 1.0::DOUBLE ELSE 0 END) AS acc FROM (
       SELECT *, CAST(c >= threshold AS INTEGER) AS yes FROM (SELECT *, 1 / (1 + exp(-greatest(-20, least(20, (score - center) * slope)))) AS c FROM points, grid)) GROUP BY ALL))
   ORDER BY round((tpr + tnr) / 2, 9) DESC, round(gap, 9), ci, si, li LIMIT 1""", "points", "grid")
-def calibrate(s, d):
-    return evaluation.calibrate(_points(s, d))
+def calibrate(s, d, size=SMALL):
+    return evaluation.calibrate(_points(s, d, size=size))
+
+
+@registered("calibrate_full")
+def calibrate_full(s, d):
+    return calibrate(s, d, CALIBRATION)
 
 
 @registered("threshold_sweep", """SELECT threshold, CAST(count(*) FILTER (WHERE confidence >= threshold) AS BIGINT) AS responded, CAST(count(*) FILTER (WHERE page = expected) AS BIGINT) AS rank_ok,
   CAST(count(*) FILTER (WHERE confidence >= threshold AND page = expected) AS BIGINT) AS both_ok, CAST(count(*) FILTER (WHERE confidence < threshold AND page = expected) AS BIGINT) AS refused_rank_ok
   FROM outcomes, (SELECT unnest([0.30, 0.50, 0.70, 0.85, 0.89]::DOUBLE[]) AS threshold) GROUP BY threshold""", "outcomes")
-def threshold_sweep(s, d):
-    return evaluation.threshold_sweep(_outcomes(s, d))
+def threshold_sweep(s, d, size=SMALL):
+    return evaluation.threshold_sweep(_outcomes(s, d, size=size))
+
+
+@registered("threshold_sweep_full")
+def threshold_sweep_full(s, d):
+    return threshold_sweep(s, d, EVAL)
 
 
 # --- service
