@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import hashing
 from textloom.operators import chunking, evaluation, index, package, questions, ranking, service
 from textloom.sources import blocks
 
@@ -142,3 +143,14 @@ def test_full_evaluation_has_the_default_shares(spark, sf_dir):
     assert report.n == k[0.1] and report.fidelity == round(report.hits / report.n, 6)
     assert {r.y: r.n for r in catalog.QUERIES["calib_points_full"](spark, sf_dir).collect()} == {0: len(evaluation.PROBES), 1: k[0.5]}
     spark.catalog.clearCache()
+
+
+def test_shuffled_sample_at_every_size(spark):
+    ids = [7 * i * i - 900 for i in range(3000)]
+    rows = spark.createDataFrame([(i,) for i in ids], "q_id long").repartition(5)
+    order = hashing.shuffled(3000, 42)[:300]
+    assert {r.nth: r.q_id for r in evaluation.sample_by_shuffle(rows, 0.1).collect()} == {i: ids[p] for i, p in enumerate(order)}
+    many = evaluation.sample_by_shuffle(rows, 0.1, parity=2999).collect()
+    hashed = rows.orderBy(F.xxhash64(F.lit(42), "q_id")).limit(300).collect()
+    assert [r.q_id for r in sorted(many, key=lambda r: r.nth)] == [r.q_id for r in hashed] and sorted(r.nth for r in many) == list(range(300))
+    assert evaluation.sample_by_shuffle(rows.limit(0), 0.1).count() == 0

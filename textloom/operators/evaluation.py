@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions.hashing import shuffled
 from textloom.operators.ranking import CENTER, SLOPE, THRESHOLD, confidence
@@ -32,17 +33,30 @@ def sample_by_hash(questions: DataFrame, share: float, seed: int = 42, most: int
     return questions.withColumn("h", F.md5(F.concat(F.lit(f"{seed}/"), F.col("q_id").cast("string")))).orderBy("h").limit(sample_size(n, share, most) if n else 0).drop("h")
 
 
+def numbered(rows: DataFrame, key: str, name: str, ranges: int = 128) -> DataFrame:
+    """Rows with their number from 0 in the order of an integer key: places in ranges of it, plus the rows of the ranges before."""
+    bounds = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    bounds = sorted(set(bounds))
+    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    rows = rows.withColumn("part", part)
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # at most `ranges` rows
+    before = [sum(n for p, n in sizes.items() if p < k) for k in range(len(bounds) + 1)]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    return rows.withColumn(name, place + F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("part") + 1)).drop("part")
+
+
 def sample_by_shuffle(questions: DataFrame, share: float, seed: int = 42, most: int | None = None, parity: int = 1_000_000) -> DataFrame:
-    """The sample that an exchange shuffle of the question list takes; only for lists of at most ``parity``."""
+    """The sample that an exchange shuffle of the question list takes, and each row's place in it (nth).
+
+    The shuffle is a chain of swaps, made on the driver; above ``parity`` questions rows are drawn in the order
+    of a keyed hash of their id instead: as many of them, as uniformly, but other ones.
+    """
     n = questions.count()
+    k = sample_size(n, share, most) if n else 0
     if n > parity:
-        raise ValueError(f"{n} questions; the shuffled sample is for at most {parity}, use sample_by_hash")
-    picked = shuffled(n, seed)[: sample_size(n, share, most)] if n else []
-    where = questions.sparkSession.createDataFrame([(p, i) for i, p in enumerate(picked)], "place int, nth int")
-    from pyspark.sql.window import Window
-
-    numbered = questions.withColumn("place", F.row_number().over(Window.orderBy("q_id")) - 1)
-    return numbered.join(F.broadcast(where), "place").drop("place")
+        return numbered(questions.withColumn("h", F.xxhash64(F.lit(seed), "q_id")), "h", "nth").where(F.col("nth") < k).drop("h")
+    where = questions.sparkSession.createDataFrame([(p, i) for i, p in enumerate(shuffled(n, seed)[:k])], "place long, nth long")
+    return numbered(questions, "q_id", "place").join(F.broadcast(where), "place").drop("place")
 
 
 def outcomes(decisions: DataFrame, questions: DataFrame) -> DataFrame:
