@@ -154,3 +154,12 @@ def test_shuffled_sample_at_every_size(spark):
     hashed = rows.orderBy(F.xxhash64(F.lit(42), "q_id")).limit(300).collect()
     assert [r.q_id for r in sorted(many, key=lambda r: r.nth)] == [r.q_id for r in hashed] and sorted(r.nth for r in many) == list(range(300))
     assert evaluation.sample_by_shuffle(rows.limit(0), 0.1).count() == 0
+
+
+def test_empty_query_reads_whole_documents(spark, tmp_path):
+    from textloom.plans import catalog
+
+    texts = [(1, "de para com o contrato foi assinado pelas partes presentes"), (2, "o de e para com"), (3, LONG), (4, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.q_id, r.score) for r in catalog.QUERIES["empty_query"](spark, str(tmp_path)).collect()} == {(2, 0.0), (4, 0.0)}
+    spark.catalog.clearCache()

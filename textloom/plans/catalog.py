@@ -279,8 +279,9 @@ def rank_join_chunks(s, d):
 
 @registered("empty_query", "SELECT doc_id AS q_id, 0.0::DOUBLE AS score FROM documents WHERE len(" + O.tokens("substr(text, 1, 12)") + ") = 0")
 def empty_query(s, d):
-    q = _docs(s, d).select(F.col("doc_id").alias("q_id"), T.tokens(F.substring("text", 1, 12)).alias("toks"))
-    return q.where(F.size("toks") == 0).select("q_id", F.lit(0.0).alias("score"))
+    # whole documents as questions; ranking scores those without tokens (the SQL looks at their first 12 characters only)
+    q = ranking.questions_of(_docs(s, d), "doc_id", "text").where(F.size("toks") == 0)
+    return ranking.top_k(_index(s, d), q).where("rank = 1").select("q_id", "score")
 
 
 @registered("query_dedup", "SELECT a.conv_id * 1000 + a.turn AS q_id, min(b.conv_id * 1000 + b.turn) AS asked FROM conversations a JOIN conversations b ON a.text = b.text GROUP BY a.conv_id, a.turn")
