@@ -147,6 +147,11 @@ def test_quality_views_agree(spark):
     assert all(0 <= x <= 1 for r in rows for x in (r.text_score, r.meta_score, r.score))
 
 
+def test_shape_reads_the_whole_word():
+    slots = quality_model.Slots()
+    assert slots["a" * 45][1] == slots["b" * 60][1] != slots["a" * 45 + "9Q" * 30][1]
+
+
 def brute_lis(pairs):
     best = [0] * len(pairs)
     for i, (_, j) in enumerate(pairs):

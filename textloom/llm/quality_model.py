@@ -53,7 +53,7 @@ class Slots(dict):
     def __missing__(self, raw: str) -> tuple[int, int]:
         if len(self) > 400_000:
             self.clear()
-        shape = raw[:40]
+        shape = raw
         for pattern, mark in _SHAPE:
             shape = pattern.sub(mark, shape)
         got = self[raw] = (_slot("w" + raw.lower()), _slot("s" + shape))
