@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 #: White space of the word rule: a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's own setting: a query's shuffle files are deleted when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows a ranked bucket holds on average.
 BUCKET_ROWS = 8192
 
@@ -48,15 +50,53 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: a lost executor can't undo it.
 
-    The table goes when the driver's JVM ends.
+    Shuffle files of the writing go as soon as it is done. The table goes by ``dropped``, or when the driver's
+    JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _path(spark, path)[1].deleteOnExit(_path(spark, path)[0])
+    back = spark.read.schema(df.schema).parquet(path)
+    back._saved_at = path
+    return back
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``saved`` that nothing reads any more."""
+    for t in tables:
+        at, store = _path(t.sparkSession, t._saved_at)
+        store.delete(at, True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", over: DataFrame | None = None, n_rows: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` (a row a key, or few) on a long key that many of the rows may share.
+
+    A key of more than its limit of rows is dealt to several tasks, and its row of the table to each of them.
+    There are at most 65,536 such keys, so their list is a bounded broadcast. ``over``: a saved table of
+    distinct rows whose columns ``rows`` has and whose keys it follows; without it ``rows`` is a saved table itself.
+    ``n_rows``: its rows, if they are known.
+    """
+    known = rows if over is None else over
+    limit = max(1024, (known.count() if n_rows is None else n_rows) >> 16)
+    hot = known.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).where(F.col(key).isNotNull())
+    hot = F.broadcast(hot.select(key, F.expr(f"(_n - 1) div {limit} + 1").alias("_salts")))
+    n = F.coalesce("_salts", F.lit(1).cast("long"))
+    # either is the same whenever a task runs again
+    draw = F.monotonically_increasing_id() if over is None else F.xxhash64(*over.columns)
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(draw, n)).drop("_salts")
+    right = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -1,80 +1,149 @@
 """N-gram Jaccard join by filters under several global token orders.
 
-Sets of word shingles link when their Jaccard similarity is at least NEED / 100. Equal sets become one node
-first, so copies are never compared. A node then has to pass, exactly and in turn:
+Sets of word shingles link when their Jaccard similarity is at least NEED / 100. Equal texts become one node
+first, so copies are never compared. Three orders of all tokens are used, and a pair has to pass each of them
+before the sets themselves are fetched:
 
-1. hash order: linked sets share at least ``few(n)`` tokens of the longer prefixes that ``prefix(n)`` cuts
-   under this order; a node with fewer prefix tokens that any other node's prefix has is finished;
-2. rarity order over what is left: linked sets share a token of their shorter prefixes, at positions that
-   leave room for the overlap they need (position filter);
-3. hash order upwards and downwards: the two sets' prefixes meet under both, before sets are intersected.
+1. rare tokens first: linked sets share a token of their prefixes, at places that leave room for the overlap
+   they need. How frequent a token is, a sketch over all texts tells, of ORDER_WIDTH counters: tokens may share a
+   counter, which makes the order coarser but keeps it one order for all sets, and so loses nothing;
+2. by hash, upwards: linked sets share so many tokens of the longer prefixes that ``prefix(n)`` cuts;
+3. by hash, downwards: likewise.
 
 Groups of near copies are not expanded into pairs: in each bucket of a token every node is compared with the
 bucket's most central one first, and only nodes of different components are compared after that.
 
 Edge cases: null and blank texts have empty sets and link with nothing; equal texts share a node; repeated
-rows and null ids are kept, and a component's id is its smallest id that isn't null; very long texts are one
-sorted array each; an empty table gives an empty result. Tokens and nodes are 64-bit hashes.
+rows and null ids are kept, and a component's id is its smallest id that isn't null, so ties between equal sets go
+to the smaller id; very long texts are one sorted array each; an empty table gives an empty result; columns other
+than the id and the text aren't read (``firsts`` carries them along, whatever their names). Tokens are 64-bit
+hashes of shingles. Nodes are 64-bit hashes of texts; texts that share one are found by a second hash (MD5) and
+get others.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, saved
+from .arrays import among, given_away, members, merged
+from .common import WORD, bounded_batches, dropped, saved, spread_join
 from .components import components
 
 NEED = 80
 WORDS = 5
+#: Counters of the sketch that says how frequent a token is: a fixed size, broadcast.
+ORDER_WIDTH = 1 << 20
 #: Rows of a block when a bucket's rest is compared; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
 #: Buckets of at most so many nodes are joined with themselves.
 SMALL = 64
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; forgets when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+class _Words:
+    """64-bit hashes of words for many bytes at once: running sums of r ** place * (a random number of the byte).
 
+    A word's hash is what the sum grows by over it, moved back to place 0. Letters A-Z have the numbers of a-z.
+    """
 
-_hashes = _Hashes()
+    STEP = 1 << 20
+    #: 3 modulo 8: powers of it differ in their lowest bits.
+    R = 0x9E3779B97F4A7C13
+    SPACES = b" \t\n\x0b\x0c\r"
+
+    def __init__(self) -> None:
+        self.number = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+        self.number[65:91] = self.number[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[list(self.SPACES)] = True
+        self.up, self.down = self.powers(self.R, self.STEP), self.powers(pow(self.R, -1, 1 << 64), self.STEP)
+
+    @staticmethod
+    def powers(r: int, n: int) -> np.ndarray:
+        out = np.full(n, r, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            return np.multiply.accumulate(out)
+
+    def hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of at most STEP bytes (or of one word), and where they start."""
+        b = np.frombuffer(data, np.uint8)
+        up, down = (self.up, self.down) if len(b) <= self.STEP else (self.powers(self.R, len(b)), self.powers(pow(self.R, -1, 1 << 64), len(b)))
+        word = np.zeros(len(b) + 2, np.int8)
+        word[1:-1] = ~self.space[b]
+        turn = np.diff(word)
+        first, past = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(self.number[b] * up[: len(b)], out=sums[1:])
+            return (sums[past] - sums[first]) * down[first], first
+
+    def pieces(self, data: bytes) -> Iterator[bytes]:
+        """A long text in pieces of at most STEP bytes that end at white space; a longer word is a piece."""
+        at = 0
+        while len(data) - at > self.STEP:
+            cut = max(data.rfind(bytes([c]), at, at + self.STEP) for c in self.SPACES)
+            if cut <= at:
+                after = [k for c in self.SPACES if (k := data.find(bytes([c]), at + self.STEP)) >= 0]
+                cut = min(after, default=len(data))
+            yield data[at:cut]
+            at = cut
+        yield data[at:]
+
+    def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The word hashes of each text, in order."""
+        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+        at = 0
+        while at < len(raw):
+            if len(raw[at]) > self.STEP:
+                yield np.concatenate([self.hashes(p)[0] for p in self.pieces(raw[at])])
+                at += 1
+                continue
+            past, size = at, 0
+            while past < len(raw) and size + len(raw[past]) + 1 <= self.STEP:
+                size += len(raw[past]) + 1
+                past += 1
+            past = max(past, at + 1)
+            h, first = self.hashes(b"\n".join(raw[at:past]))
+            ends = np.cumsum([len(r) + 1 for r in raw[at:past]])
+            yield from np.split(h, np.searchsorted(first, ends[:-1]))
+            at = past
+
+
+_words: list[_Words] = []
+
+
+def sets_of(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """The sets of texts as sorted 64-bit hashes: their word n-grams, or all their words if they are fewer."""
+    if not _words:
+        _words.append(_Words())
+    out = []
+    for h in _words[0].of(texts):
+        take = min(words, len(h))
+        if not take:
+            out.append(np.zeros(0, np.int64))
+            continue
+        s = np.full(len(h) - take + 1, 0x9E3779B97F4A7C15 ^ take, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(take):
+                s = (s ^ h[k : len(h) - take + 1 + k]) * np.uint64(0xFF51AFD7ED558CCD)
+                s ^= s >> np.uint64(32)
+            s *= np.uint64(0xC4CEB9FE1A85EC53)
+            s ^= s >> np.uint64(29)
+        s = s.view(np.int64)
+        s.sort()
+        out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+    return out
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The set of a text as sorted 64-bit hashes: its word n-grams, or all its words if they are fewer."""
-    ws = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-    if not ws:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
-    take = min(words, len(h))
-    out = np.full(len(h) - take + 1, 0x9E3779B97F4A7C15 ^ take, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(take):
-            out = (out ^ h[k : len(h) - take + 1 + k]) * np.uint64(0xFF51AFD7ED558CCD)
-            out ^= out >> np.uint64(32)
-        out = out * np.uint64(0xC4CEB9FE1A85EC53)
-        out ^= out >> np.uint64(29)
-    return np.unique(out.view(np.int64))
-
-
-def node_of(tokens: np.ndarray) -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64)) if len(tokens) else 0
+    return sets_of([text], words)[0]
 
 
 def least(n: np.ndarray | int) -> np.ndarray | int:
@@ -88,91 +157,137 @@ def spare(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def prefix(n: int) -> int:
+    """Length of the longer prefix: linked sets of n and m share min(spare(n), spare(m)) tokens of theirs."""
     return min(n, n - least(n) + spare(n))
 
 
-def few(n: int) -> int:
-    """Tokens that the longer prefixes of a set of n and of any linked one share, at least."""
-    return spare(least(n))
-
-
 def overlap(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
     """Tokens that linked sets of a and b tokens share, at least."""
     return (NEED * (a + b) + 99 + NEED) // (100 + NEED)
 
 
-def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, text_key, n, node and the longer prefix of every document."""
+def text_hash(text: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), text) if seed else F.xxhash64(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [shingles(t) for t in b["text"].tolist()]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "text_key": b["text_key"], "n": np.array([len(s) for s in found], np.int64),
-                "node": np.array([node_of(s) for s in found], np.int64), "prefix": [s[: prefix(len(s))] for s in found],
-            })
 
-    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    # ids pass through Python as text: pandas would make nullable ones floats
-    rows = rows.mapInPandas(run, "doc_id string, text_key long, n long, node long, prefix array<long>")
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+class Nodes:
+    """The texts of a table as nodes.
 
+    found: doc_id, node, worded (has words) of every row; texts(): node, text, once for each node.
+    """
 
-def heavy_tokens(tokens: DataFrame, part: int = 64, most: int = 65536) -> DataFrame:
-    """Tokens that a sample of nodes shows to be shared by very many; at most ``most``, so they can be broadcast.
+    def __init__(self, docs: DataFrame, key: str, text: str) -> None:
+        bounded_batches(docs.sparkSession)
+        self.docs, self.text = docs, F.col(text)
+        self.key = F.col(key).cast("long")
+        self.worded = F.coalesce(self.text, F.lit("")).rlike(WORD)
+        self.clashes: list[list[int]] = []
+        while True:
+            rows = docs.select(self.key.alias("doc_id"), self.node.alias("node"), self.worded.alias("worded"), F.md5(self.text.cast("binary")).alias("other"))
+            self.found = saved(rows, "found")
+            two = self.found.where("worded").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y")
+            # of n texts n * n / 2 ** 65 pairs or so: hardly ever one
+            clash = [r["node"] for r in two.select("node").collect()]
+            if not clash:
+                break
+            self.clashes.append(clash)
+        self.rows = self.found.count()
+        own = self.found.where("worded")
+        once = own.groupBy("node", "doc_id").agg(F.count("*").alias("c"))
+        self.first = once.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("m")).select("node", "m.doc_id")
+        # rows that aren't the only one of their node; a filter of them lets all others by, so only these are shuffled
+        every = Window.partitionBy("node")
+        self.doubt = members(once.withColumn("k", F.sum("c").over(every)).where("k > 1").select(F.xxhash64("node", "doc_id").alias("k")), self.rows)
+
+    @property
+    def node(self) -> Column:
+        h = text_hash(self.text, 0)
+        for k, clash in enumerate(self.clashes):
+            h = F.when(h.isin(clash), text_hash(self.text, k + 1)).otherwise(h)
+        return h
 
-    Only a plan for the shuffle: what is counted as shared is the same with any list.
-    """
-    sample = tokens.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0)
-    counts = saved(sample.groupBy("token").agg(F.count("*").alias("c")).where("c >= 16"), "counts")
-    rows = counts.agg(F.sum("c").alias("s")).first()["s"] or 0
-    # tokens with a share of 1/most of the counted rows or more: at most ``most`` of them
-    return counts.where(F.col("c") >= F.lit(max(16, -(-rows // most)))).select("token")
+    def texts(self, wanted: Broadcast | None = None) -> DataFrame:
+        """node and text; wanted: a filter of nodes. A filter's error may repeat a node: that costs work only."""
+        rows = self.docs.where(self.worded).select(self.key.alias("doc_id"), self.node.alias("node"), self.text.alias("text"))
+        if wanted is not None:
+            rows = rows.where(among(wanted, F.col("node")))
+        if self.doubt is None:
+            return rows.select("node", "text")
+        doubt = among(self.doubt, F.xxhash64("node", "doc_id"))
+        return rows.where(~doubt).select("node", "text").unionByName(first_rows(rows.where(doubt), self.first).select("node", "text"))
 
 
-def suspects(found: DataFrame) -> DataFrame:
-    """node, text_key of nodes that may link with others (filter 1); found: rows of ``sets``, copies and all.
+def first_rows(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """One row of each (node, doc_id) that ``first`` has."""
+    mine = first.select(F.col("node").alias("first_node"), F.col("doc_id").alias("first_id"))
+    return rows.join(mine, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["node", "doc_id"])
 
-    Tokens are shuffled once. A token is shared if its smallest and largest node differ; those of very many
-    rows are known from a sample and don't meet in one task.
-    """
-    tokens = found.where("n > 0").select("node", F.explode("prefix").alias("token"))
-    heavy = F.broadcast(heavy_tokens(tokens))
-    all_of = Window.partitionBy("token")
-    rare = tokens.join(heavy, "token", "left_anti").withColumn("a", F.min("node").over(all_of)).withColumn("b", F.max("node").over(all_of)).where("a <> b")
-    hot = tokens.join(heavy, "token", "left_semi")
-    # copies repeat their tokens: each counts once for a node
-    shared = rare.select("node", "token").unionByName(hot.select("node", "token")).groupBy("node", "token").agg(F.lit(1).alias("k")).groupBy("node").agg(F.count("*").alias("shared"))
-    nodes = found.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"))
-    need = F.expr("(5 * ((80 * n + 99) div 100) + 99) div 100")
-    return shared.join(nodes, "node").where(F.col("shared") >= need).select("node", "text_key")
-
-
-def full_sets(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
-    """node, n and all tokens of the suspected nodes; keys: node, text_key of one document for each."""
-    texts = docs.select(F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    wanted = texts.join(keys.select("text_key").hint("shuffle_hash"), "text_key", "left_semi").dropDuplicates(["text_key"])
+
+def counted(texts: DataFrame) -> DataFrame:
+    """node, n of every text, and the frequency sketch as blocks (rows without a node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = ORDER_WIDTH
+        seen, any_ = np.zeros(width, np.int64), False
         for b in batches:
-            found = [shingles(t) for t in b["text"].tolist()]
-            yield pd.DataFrame({"node": np.array([node_of(s) for s in found], np.int64), "n": np.array([len(s) for s in found], np.int64), "tokens": found})
+            found = sets_of(b["text"].tolist())
+            if found:
+                seen += np.bincount(np.concatenate(found) & (width - 1), minlength=width)
+                any_ = True
+            yield pd.DataFrame({"node": b["node"].to_numpy(np.int64), "n": np.array([len(s) for s in found], np.int64), "part": -1, "block": -1, "data": [b""] * len(b)})
+        if any_:
+            yield given_away(seen).assign(node=np.int64(0), n=np.int64(0))[["node", "n", "part", "block", "data"]]
+
+    return texts.mapInPandas(run, "node long, n long, part int, block int, data binary")
+
+
+def prefixes(texts: DataFrame, sketch: Broadcast, often: int) -> DataFrame:
+    """node, n, tokens (the prefix under the first order) and cool: how many of them the sketch has fewer than ``often`` times."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = sketch.value
+        for b in batches:
+            ns, cool, tokens = [], [], []
+            for s in sets_of(b["text"].tolist()):
+                c = seen[s & (len(seen) - 1)]
+                order = np.argsort(c, kind="stable")[: len(s) - least(len(s)) + 1]
+                ns.append(len(s))
+                cool.append(int((c[order] < often).sum()))
+                tokens.append(s[order])
+            yield pd.DataFrame({"node": b["node"].to_numpy(np.int64), "n": np.array(ns, np.int64), "cool": np.array(cool, np.int32), "tokens": tokens})
+
+    return texts.mapInPandas(run, "node long, n long, cool int, tokens array<long>")
+
 
-    return wanted.select("text").mapInPandas(run, "node long, n long, tokens array<long>")
+#: What makes a node central in a bucket: its token comes early.
+HEAD = "min(struct(pos / n as p, node as b, n as m, pos as at))"
 
 
-def positions(full: DataFrame) -> DataFrame:
-    """token, node, n, pos: the shared tokens in each node's shorter prefix under the rarity order (filter 2).
+def buckets(firsts: DataFrame, any_hot: bool = True) -> DataFrame:
+    """token, node, n, pos of prefix tokens that more than one node has, with c (how many) and the most central node (b, m, at).
 
-    Tokens of one node alone come first in the order and match nothing: only their number matters.
+    Tokens are shuffled once. Those that may be in very many sets are summed before they are, and their heads
+    broadcast: with the limit on ``c`` at most 65,536.
     """
-    tokens = full.select("node", "n", F.explode("tokens").alias("token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = tokens.join(df, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
-    own = own.withColumn("alone", F.col("n") - F.size("s")).withColumn("end", F.col("n") - F.expr("(80 * n + 99) div 100") + 1)
-    return own.where("end > alone").select("node", "n", "alone", F.posexplode(F.slice("s", F.lit(1), (F.col("end") - F.col("alone")).cast("int"))).alias("k", "x")).select(
-        F.col("x.token").alias("token"), "node", "n", (F.col("k") + F.col("alone")).cast("long").alias("pos")
-    )
+    cool = firsts.select("node", "n", F.posexplode(F.expr("slice(tokens, 1, cool)")).alias("pos", "token"))
+    every = Window.partitionBy("token")
+    near = cool.withColumn("c", F.count("*").over(every)).withColumn("t", F.expr(HEAD).over(every)).where("c > 1")
+    columns = ["token", "node", "n", "pos", "c", "t"]
+    out = near.select(columns)
+    if any_hot:
+        hot = firsts.where("cool < size(tokens)").select("node", "n", "cool", F.posexplode(F.expr("slice(tokens, cool + 1, size(tokens))")).alias("k", "token"))
+        hot = saved(hot.select("node", "n", (F.col("k") + F.col("cool")).alias("pos"), "token"), "hot")
+        limit = max(1024, hot.count() >> 16)
+        heads = saved(hot.groupBy("token").agg(F.count("*").alias("c"), F.expr(HEAD).alias("t")).where("c > 1"), "heads")
+        big = F.broadcast(heads.where(F.col("c") > limit).select("token", F.lit(True).alias("big")))
+        out = out.unionByName(on_token(hot.join(big, "token", "left"), heads, limit, "big").select(columns))
+    return saved(out.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "c", "t.b", "t.m", "t.at"), "buckets")
+
+
+def on_token(rows: DataFrame, table: DataFrame, limit: int, big: str) -> DataFrame:
+    """rows joined with a table of tokens and their counts c; the few tokens of more than ``limit`` rows (at most 65,536) by broadcast."""
+    few = table.where(F.col("c") > limit)
+    return rows.where(big).drop(big).join(F.broadcast(few), "token").unionByName(rows.where(f"{big} is null or not {big}").drop(big).join(table.where(F.col("c") <= limit), "token"))
 
 
 def _room(n: str, pos: str, m: str, at: str) -> Column:
@@ -182,17 +297,16 @@ def _room(n: str, pos: str, m: str, at: str) -> Column:
 
 def stars(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of each node with the most central node of each of its buckets."""
-    top = rows.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("p"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))).alias("t"), F.count("*").alias("c")).where("c > 1")
-    top = top.select("token", "t.b", "t.m", "t.at")
-    near = rows.join(top, "token").where("node <> b").where(_room("n", "pos", "m", "at"))
+    near = rows.where("node <> b").where(_room("n", "pos", "m", "at"))
     return near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def rests(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of nodes of different components that meet in a bucket with room for the overlap they need."""
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    put = named.join(mixed.select("token", "c"), "token")
+    named = saved(rows.select("token", "node", "n", "pos", "c").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = saved(named.groupBy("token").agg(F.max("c").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "c"), "mixed")
+    limit = max(1024, named.count() >> 16)
+    put = on_token(named.withColumn("big", F.col("c") > limit).drop("c"), mixed, limit, "big")
     small = put.where(f"c <= {SMALL}").select("token", "node", "n", "pos", "label")
     other = small.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("theirs"))
     meet = small.join(other, "token").where("node < b and label <> theirs").where(_room("n", "pos", "m", "at"))
@@ -224,71 +338,96 @@ def rests(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return found.unionByName(put.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")).distinct()
 
 
-def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs that link: filters under both directions of the hash order, then the sets themselves (filter 3)."""
-    left = pairs.join(full.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(full.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-    def meet(u: np.ndarray, v: np.ndarray) -> int:
-        both = np.concatenate((u, v))
-        both.sort(kind="stable")
-        return int((both[1:] == both[:-1]).sum())
+
+def _fetched(pairs: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """A saved table of pairs with the columns of a table of nodes, for a and for b (names end in _a, _b); a node may be in very many pairs."""
+    out = pairs
+    for side in ("a", "b"):
+        out = spread_join(out, table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in table.columns if c != "node"]), side, over=pairs, n_rows=n)
+    return out
+
+
+def verified(pairs: DataFrame, nodes: Nodes) -> DataFrame:
+    """The pairs that link: both directions of the hash order first, then the sets of those that pass."""
+    pairs = saved(pairs, "pairs")
+    n = pairs.count()
+    if not n:
+        return pairs
+    wanted = members(_ends(pairs), 2 * n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            keep = []
-            for u, v in zip(p["x"], p["y"], strict=True):
-                pu, pv = len(u) - least(len(u)) + 1, len(v) - least(len(v)) + 1
-                ok = meet(u[:pu], v[:pv]) > 0 and meet(u[-pu:], v[-pv:]) > 0
-                common = meet(u, v) if ok else 0
-                keep.append(ok and 100 * common >= NEED * (len(u) + len(v) - common))
-            yield p.loc[np.array(keep, bool), ["a", "b"]]
+        for b in batches:
+            found = sets_of(b["text"].tolist())
+            ends = [prefix(len(s)) for s in found]
+            yield pd.DataFrame({
+                "node": b["node"].to_numpy(np.int64), "n": np.array([len(s) for s in found], np.int64),
+                "up": [s[:k] for s, k in zip(found, ends, strict=True)], "down": [s[len(s) - k :] for s, k in zip(found, ends, strict=True)], "tokens": found,
+            })
 
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    full = saved(nodes.texts(wanted).mapInPandas(run, "node long, n long, up array<long>, down array<long>, tokens array<long>"), "full")
+    few = F.expr("least((5 * n_a + 99) div 100, (5 * n_b + 99) div 100)")
+    meet = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
+    passed = saved(_fetched(pairs, full.select("node", "n", "up", "down"), n).where((meet("up") >= few) & (meet("down") >= few)).select("a", "b"), "passed")
+    both = _fetched(passed, full.select("node", "tokens"), n)
+    common, sizes = meet("tokens"), F.size("tokens_a") + F.size("tokens_b")
+    links = saved(both.where(100 * common >= NEED * (sizes - common)).select("a", "b").distinct(), "links")
+    dropped(pairs, full, passed)
+    return links
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (hash of the text), n_shingles, node and component (a node) of every document."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-
-    def free() -> None:
-        """Lets Spark delete the shuffle files of finished steps."""
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-    found = saved(sets(docs, key, text), "sets")
-    keys = saved(suspects(found), "suspects")
-    free()
-    full = saved(full_sets(docs, text, keys), "full")
-    free()
-    rows = saved(positions(full), "buckets")
-    free()
-    links = saved(verified(stars(rows), full), "links")
-    more = saved(verified(rests(rows, components(links)), full), "more")
-    labels = components(links.unionByName(more))
-    free()
-    named = found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
-    return named.withColumn("component", F.coalesce("label", "node")).drop("label")
+    """doc_id, n_shingles, node and component (a node) of every document; blank ones have neither."""
+    return classed(Nodes(docs, key, text))
+
+
+def classed(nodes: Nodes) -> DataFrame:
+    counts = saved(counted(nodes.texts()), "counted")
+    sizes = counts.where("part < 0").select("node", "n")
+    seen = merged(counts.where("part >= 0").select("part", "block", "data"), ORDER_WIDTH, np.add)
+    # a token that more than this many counted tokens share a counter with may be in very many sets
+    often = max(1024, int(seen.sum()) >> 16)
+    sketch = nodes.docs.sparkSession.sparkContext.broadcast(np.minimum(seen, np.iinfo(np.uint32).max).astype(np.uint32))
+    firsts_ = saved(prefixes(nodes.texts(), sketch, often), "prefixes")
+    rows = buckets(firsts_, bool((seen >= often).any()))
+    dropped(firsts_)
+    near = verified(stars(rows), nodes)
+    labels = components(near)
+    more = verified(rests(rows, labels), nodes)
+    if more.limit(1).count():
+        labels = components(near.unionByName(more))
+    dropped(rows)
+    named = sizes.groupBy("node").agg(F.max("n").alias("n_shingles")).join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
+    out = spread_join(nodes.found.where("worded"), named, "node", n_rows=nodes.rows)
+    blank = nodes.found.where("not worded").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("component"))
+    return saved(out.select("doc_id", "n_shingles", "node", "component").unionByName(blank), "classes")
 
 
 def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, one for each component (that of the smallest id); documents without words all stay."""
-    named = saved(classes(docs, key, text), "classes")
-    first = named.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("m"))
-    first = first.select(F.col("m.doc_id").alias("first_id"), F.col("m.text_key").alias("first_key"))
+    """The rows of ``docs``, one for each component (that of the smallest id); documents without words all stay.
+
+    Only rows that may have to go are shuffled: a filter of those lets the others through.
+    """
+    nodes = Nodes(docs, key, text)
+    named = classed(nodes)
+    own = named.where("n_shingles > 0")
+    first = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node")).alias("m"))
+    first = saved(first.select(F.col("m.doc_id").alias("doc_id"), F.col("m.node").alias("node")), "firsts")
+    goes = own.select("doc_id", "node").join(first.select(F.col("node").alias("n"), F.col("doc_id").alias("i")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("n")), "left_anti")
+    again = own.groupBy("doc_id", "node").count().where("count > 1").select("doc_id", "node")
+    doubt = members(goes.unionByName(again).select(F.xxhash64("node", "doc_id").alias("k")).distinct(), nodes.rows)
     # the row travels as one value, so no column of it can clash
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_text_key"), F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_words"))
-    stay = rows.where("_words").join(first, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_text_key") == F.col("first_key")), "left_semi")
-    one = Window.partitionBy("_id", "_text_key").orderBy(F.lit(0))
-    stay = stay.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_row")
-    return stay.unionByName(rows.where("not _words").select("_row")).select("_row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), nodes.key.alias("doc_id"), nodes.node.alias("node"), nodes.worded.alias("_worded"))
+    rows = rows.withColumn("_doubt", F.col("_worded") & among(doubt, F.xxhash64("node", "doc_id")))
+    return rows.where("not _doubt").select("_row").unionByName(first_rows(rows.where("_doubt"), first).select("_row")).select("_row.*")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = saved(classes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "classes")
+    named = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     ids = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(ids, "component", "left")
+    out = spread_join(named, ids, "component", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
