@@ -2,7 +2,7 @@
 
 Sets of word shingles link when their Jaccard similarity is at least NEED / 100. Equal texts become one node
 first, so copies are never compared. Three orders of all tokens are used, and a pair has to pass each of them
-before the sets themselves are fetched:
+before the sets themselves are fetched (a bitmap of each set is looked at, too):
 
 1. rare tokens first: linked sets share a token of their prefixes, at places that leave room for the overlap
    they need. How frequent a token is, a sketch over all texts tells, of ORDER_WIDTH counters: tokens may share a
@@ -195,9 +195,8 @@ class Nodes:
         own = self.found.where("worded")
         once = own.groupBy("node", "doc_id").agg(F.count("*").alias("c"))
         self.first = once.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("m")).select("node", "m.doc_id")
-        # rows that aren't the only one of their node; a filter of them lets all others by, so only these are shuffled
-        every = Window.partitionBy("node")
-        self.doubt = members(once.withColumn("k", F.sum("c").over(every)).where("k > 1").select(F.xxhash64("node", "doc_id").alias("k")), self.rows)
+        # nodes of several rows; a filter of them lets all others by, so only these are shuffled
+        self.doubt = members(own.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"), self.rows)
 
     @property
     def node(self) -> Column:
@@ -213,7 +212,7 @@ class Nodes:
             rows = rows.where(among(wanted, F.col("node")))
         if self.doubt is None:
             return rows.select("node", "text")
-        doubt = among(self.doubt, F.xxhash64("node", "doc_id"))
+        doubt = among(self.doubt, F.col("node"))
         return rows.where(~doubt).select("node", "text").unionByName(first_rows(rows.where(doubt), self.first).select("node", "text"))
 
 
@@ -350,31 +349,75 @@ def _fetched(pairs: DataFrame, table: DataFrame, n: int) -> DataFrame:
     return out
 
 
+#: Bits of a set's bitmap, for each of its tokens (up to the next power of two).
+SPREAD = 8
+
+
+def digest(s: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    """What the filters need of a set: its size, both ends of the hash order (16 bits of each token) and a bitmap of it."""
+    k = prefix(len(s))
+    flags = np.zeros(max(1024, 1 << (SPREAD * len(s) - 1).bit_length()), bool)
+    flags[s & (len(flags) - 1)] = True
+    ends = [((e >> 24) & 0xFFFF).astype("<u2").tobytes() for e in (s[:k], s[len(s) - k :])]
+    return len(s), ends[0], ends[1], np.packbits(flags, bitorder="little").tobytes()
+
+
+def may_link(a: tuple[int, bytes, bytes, bytes], b: tuple[int, bytes, bytes, bytes], room: np.ndarray) -> bool:
+    """Whether two digests can be of linked sets; never False if they link. room: 65,536 flags, all down.
+
+    Under both directions of the hash order so many tokens of the longer prefixes have to be met (tokens of equal
+    16 bits count as met). Of the bitmaps, common tokens fill common bits but for those that fall on one bit, which
+    are no more than either whole set has.
+    """
+    few = min(spare(a[0]), spare(b[0]))
+    for x, y in ((a[1], b[1]), (a[2], b[2])):
+        x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+        room[y] = True
+        met = int(room[x].sum())
+        room[y] = False
+        if met < few:
+            return False
+    x, y = np.frombuffer(a[3], np.uint8), np.frombuffer(b[3], np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    bits = lambda v: int(np.bitwise_count(v).sum())
+    return bits(x & y) >= overlap(a[0], b[0]) - min(a[0] - bits(x), b[0] - bits(y))
+
+
 def verified(pairs: DataFrame, nodes: Nodes) -> DataFrame:
-    """The pairs that link: both directions of the hash order first, then the sets of those that pass."""
+    """The pairs that link: digests first (both directions of the hash order), then the sets of those that pass."""
     pairs = saved(pairs, "pairs")
     n = pairs.count()
     if not n:
         return pairs
-    wanted = members(_ends(pairs), 2 * n)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = sets_of(b["text"].tolist())
-            ends = [prefix(len(s)) for s in found]
-            yield pd.DataFrame({
-                "node": b["node"].to_numpy(np.int64), "n": np.array([len(s) for s in found], np.int64),
-                "up": [s[:k] for s, k in zip(found, ends, strict=True)], "down": [s[len(s) - k :] for s, k in zip(found, ends, strict=True)], "tokens": found,
-            })
-
-    full = saved(nodes.texts(wanted).mapInPandas(run, "node long, n long, up array<long>, down array<long>, tokens array<long>"), "full")
-    few = F.expr("least((5 * n_a + 99) div 100, (5 * n_b + 99) div 100)")
-    meet = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
-    passed = saved(_fetched(pairs, full.select("node", "n", "up", "down"), n).where((meet("up") >= few) & (meet("down") >= few)).select("a", "b"), "passed")
-    both = _fetched(passed, full.select("node", "tokens"), n)
-    common, sizes = meet("tokens"), F.size("tokens_a") + F.size("tokens_b")
-    links = saved(both.where(100 * common >= NEED * (sizes - common)).select("a", "b").distinct(), "links")
-    dropped(pairs, full, passed)
+            yield pd.DataFrame([(k, *digest(s)) for k, s in zip(b["node"].tolist(), sets_of(b["text"].tolist()), strict=True)], columns=["node", "n", "up", "down", "bits"])
+
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room = np.zeros(65536, bool)
+        for p in batches:
+            side = lambda x, p=p: zip(p[f"n_{x}"].tolist(), p[f"up_{x}"], p[f"down_{x}"], p[f"bits_{x}"], strict=True)
+            yield p.loc[np.fromiter((may_link(x, y, room) for x, y in zip(side("a"), side("b"), strict=True)), bool, len(p)), ["a", "b"]]
+
+    small = saved(nodes.texts(members(_ends(pairs), 2 * n)).mapInPandas(digests, "node long, n long, up binary, down binary, bits binary"), "digests")
+    passed = saved(_fetched(pairs, small, n).mapInPandas(passing, "a long, b long"), "passed")
+    dropped(pairs, small)
+    n = passed.count()
+    if not n:
+        return passed
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"].to_numpy(np.int64), "tokens": sets_of(b["text"].tolist())})
+
+    full = saved(nodes.texts(members(_ends(passed), 2 * n)).mapInPandas(whole, "node long, tokens array<long>"), "full")
+    common, sizes = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
+    links = saved(_fetched(passed, full, n).where(100 * common >= NEED * (sizes - common)).select("a", "b").distinct(), "links")
+    dropped(full, passed)
     return links
 
 
