@@ -211,6 +211,52 @@ def test_recall(spark, sf_dir):
     assert found["hit"] >= 0.9 * found["all"] and found["all"] == len(rows)
 
 
+def _density(tree):
+    """The rule by plain recursion; tree: (name, children), children: texts and trees."""
+    flat = lambda t: "".join(c if isinstance(c, str) else flat(c) for c in t[1])
+    tags = lambda t: sum(1 + tags(c) for c in t[1] if not isinstance(c, str))
+    return len(flat(tree)) / max(tags(tree), 1)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_densest_subtree_against_recursion(seed):
+    rng = random.Random(seed)
+
+    def grow(depth):
+        if not depth or rng.random() < 0.3:
+            return ("p", [" ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 30)))])
+        return ("div", [grow(depth - 1) for _ in range(rng.randint(1, 5))])
+
+    tree = ("body", [grow(4) for _ in range(3)])
+    html = lambda t: t if isinstance(t, str) else f"<{t[0]}>" + "".join(map(html, t[1])) + f"</{t[0]}>"
+    text = lambda t: t if isinstance(t, str) else " ".join(map(text, t[1]))
+    nodes = [(tree, [])]
+    for t, way in nodes:
+        nodes += [(c, [*way, t]) for c in t[1] if not isinstance(c, str)]
+    total = lambda t: sum(_density(c) for c in t[1] if not isinstance(c, str))
+    best, way = max(nodes, key=lambda n: total(n[0]))
+    least = min(_density(t) for t in [*way, best])
+
+    def taken(t, k):
+        if t is best:
+            return [text(t)]
+        return [x for c in t[1] for x in (taken(c, k + 1) if c is [*way, best][k + 1] else [text(c)] if _density(c) >= least else [])]
+
+    assert html_text.main_text(html(tree)) == " ".join(taken(tree, 0))
+
+
+@pytest.mark.parametrize("shell", ["<div class=\"content has-sidebar\">{}</div>", "<article><div class=\"entry-header\"><h1>Title</h1></div><div>{}</div></article>", "<div class=story>{}</div><article><a href=x>Teaser</a><p>Short.</p></article>"])
+def test_misleading_names(shell):
+    got = html_text.main_text("<body><div id=menu><a href=a>Home</a></div>" + shell.format(_paragraphs("Body", 4)) + "</body>")
+    assert got.count("Body paragraph") == 4 and "Home" not in got and "Teaser" not in got and ("Title" in got) == ("Title" in shell)
+
+
+def test_deep_and_long_pages():
+    assert html_text.main_text("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
+    assert html_text.main_text("<b>" * 20_000 + "<p>x</i>" * 20_000).split() == ["x"] * 20_000
+    assert html_text.main_text("<body><p>a <math><mi>b</mi></math> c</p>") == "a b c"
+
+
 def test_learned_parts():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16)) * 3
