@@ -6,9 +6,14 @@ A slot i has the point bitreverse(i); with a power of two of slots the points ar
 blocks, spread evenly over the schedule. The last block of a source is cut where its target ends. A source
 whose target is above its size plays its stream a second time.
 
-Edge cases: a null or blank text has size 0 and is taken 0 times; null sources form the last source;
-repeated rows count each by itself; with no words at all every target is 0; an empty table gives an empty
-result. ``max_sources`` bounds the source catalogue (an error beyond it, never a cut).
+What is played where is part of the result: a document's first slot and how many slots play it, and the mix itself
+(``mixed``) comes in the order of the slots.
+
+Edge cases: a null or blank text has size 0, is taken 0 times and has no slot; null sources form the last source;
+repeated rows count each by itself, and of rows equal in all that orders a stream it doesn't matter which is which;
+a very long text covers many slots and is cut only where its source's target ends; with no words at all every
+target is 0; an empty table gives an empty result; other columns, whatever their names, are carried along by
+``mixed`` and not read elsewhere. The catalogue of sources (one row each) is ordered in one task, which may spill.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ BLOCK = 1024
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
-MAX_SOURCES = 1_000_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -87,10 +91,7 @@ def schedule(spark: SparkSession, sizes: DataFrame, block: int = BLOCK) -> DataF
     need = F.ceil(F.floor("target") / F.lit(float(block))).cast("long")
     before = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     marks = sizes.withColumn("blocks", need).withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
-    found = marks.agg(F.sum("blocks").alias("n"), F.count("*").alias("sources")).first()
-    total = int(found["n"] or 0)
-    if found["sources"] > MAX_SOURCES:
-        raise ValueError(f"{found['sources']} sources; the catalogue may have {MAX_SOURCES}")
+    total = int(marks.agg(F.sum("blocks").alias("n")).first()["n"] or 0)
     bits = max(1, (max(total, 1) - 1).bit_length())
     # a point's source by its place among the cumulative counts; points beyond the last block stay empty.
     # Each source lists its own points, so nothing is joined by range: point p is slot bitreverse(p)
@@ -116,47 +117,55 @@ def ranked(slots: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(placed: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Joins documents with the blocks that are played: rows (source, nth, slot, from_word, taken).
+    """Joins documents with the blocks that are played: rows (source, nth, turn, slot, from_word, taken).
 
-    A document covers blocks ``at // block`` and on, and in the second playing those ``source_size`` later.
+    A document covers blocks ``at // block`` and on, and in the second playing (turn 1) those ``source_size`` later.
     """
     slots = ranked(schedule(placed.sparkSession, sizes, block), sizes, block)
     turns = placed.where("size > 0").join(sizes, placed["source"].eqNullSafe(sizes["source"])).select(
-        placed["source"], "nth", "size", F.explode(F.expr(f"transform(sequence(0, {REPEATS - 1}), e -> at + e * source_size)")).alias("start"), "target"
+        placed["source"], "nth", "size", F.posexplode(F.expr(f"transform(sequence(0, {REPEATS - 1}), e -> at + e * source_size)")).alias("turn", "start"), "target"
     )
     # blocks beyond the target are never played
     covers = turns.where(F.col("start") < F.floor("target")).select(
-        F.col("source").alias("_s"), "nth", "size", "start",
+        F.col("source").alias("_s"), "nth", "turn", "size", "start",
         F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("_rank"),
     )
-    hit = covers.join(slots, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_rank") == F.col("rank")))
+    # both sides grow with the words: never a broadcast
+    hit = covers.join(slots.hint("merge"), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_rank") == F.col("rank")))
     head = F.greatest(F.col("start"), F.col("rank") * block)
     tail = F.least(F.col("start") + F.col("size"), F.col("rank") * block + F.col("words"))
-    return hit.select("source", "nth", "slot", (head - F.col("start")).alias("from_word"), (tail - head).alias("taken")).where("taken > 0")
+    return hit.select("source", "nth", "turn", "slot", (head - F.col("start")).alias("from_word"), (tail - head).alias("taken")).where("taken > 0")
 
 
 def taken(rows: DataFrame) -> DataFrame:
-    """Rows of ``sized`` plus source_size, target and taken (a row's words in the mix, repeats counted)."""
+    """Rows of ``sized`` plus source_size, target, taken (a row's words in the mix, repeats counted), n_slots (how many
+    slots play it), first_slot, and starts (the first slot of each playing)."""
     placed, sizes = streams(rows)
     placed = saved(placed, "placed")
     played = mix(placed, sizes)
-    per = played.groupBy("source", "nth").agg(F.sum("taken").alias("taken")).select(F.col("source").alias("_s"), F.col("nth").alias("_n"), "taken")
+    per = played.groupBy("source", "nth").agg(
+        F.sum("taken").alias("taken"), F.count("*").alias("n_slots"), F.min("slot").alias("first_slot"),
+        F.array(*[F.min(F.when(F.col("turn") == t, F.col("slot"))) for t in range(REPEATS)]).alias("starts"),
+    ).withColumnsRenamed({"source": "_s", "nth": "_n"})
     out = placed.join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col("nth") == F.col("_n")), "left").drop("_s", "_n")
-    out = out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("taken", "n_slots")})
     known = sizes.select(F.col("source").alias("_s"), "source_size", "target")
     return out.join(known, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mix as rows of ``docs``: each document as often as it is played, the last time perhaps in part (its first words)."""
+    """The mix as rows of ``docs`` in the order of the schedule: each document as often as it is played, where its
+    playing begins, the last time perhaps in part (its first words)."""
     rows = taken(sized(docs, text, key, source))
-    lists = rows.groupBy("key", "fp").agg(F.sort_array(F.collect_list(F.struct("source", "size", "taken"))).alias("_l")).select(F.col("key").alias("_k"), F.col("fp").alias("_f"), "_l")
-    same = Window.partitionBy("_id", "_fp").orderBy("_source")
+    # rows equal in id, text and source are numbered on both sides; which is which doesn't matter
+    same = lambda *c: Window.partitionBy(*c[:3]).orderBy(F.lit(0))
+    played = rows.where("taken > 0").select("key", "fp", "source", "size", "taken", "starts").withColumn("n", F.row_number().over(same("key", "fp", "source")))
+    played = played.select(F.struct("key", "fp", "source", "n").alias("_at"), F.struct("size", "taken", "starts").alias("_t"))
     # the row travels as one value, so no column of it can clash
     put = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_fp"))
-    put = put.withColumn("_nth", F.row_number().over(same))
-    put = put.join(lists, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_fp") == F.col("_f"))).withColumn("_t", F.element_at("_l", F.col("_nth")))
-    put = put.where("_t.taken > 0").withColumn("_turn", F.explode(F.expr("sequence(0L, (_t.taken - 1) div _t.size)")))
+    put = put.withColumn("_n", F.row_number().over(same("_id", "_fp", "_source")))
+    at = F.col("_id").eqNullSafe(F.col("_at.key")) & (F.col("_fp") == F.col("_at.fp")) & F.col("_source").eqNullSafe(F.col("_at.source")) & (F.col("_n") == F.col("_at.n"))
+    put = put.join(played, at).withColumn("_turn", F.explode(F.expr("sequence(0L, (_t.taken - 1) div _t.size)")))
     left = F.col("_t.taken") - F.col("_turn") * F.col("_t.size")
     part = left < F.col("_t.size")
     put = put.withColumn("_text", F.when(part, F.array_join(F.slice(words(F.col("_text")), F.lit(1), left.cast("int")), " ")).otherwise(F.col("_text")))
@@ -164,12 +173,13 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     if "n_chars" in docs.columns:
         n = F.when(part, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
         row = row.withField("n_chars", n)
-    return put.select(row.alias("_row")).select("_row.*")
+    put = put.select(row.alias("_row"), F.get("_t.starts", F.col("_turn").cast("int")).alias("_slot"), "_id", "_fp")
+    return put.orderBy("_slot", "_id", "_fp").select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return taken(rows).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken(rows).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "n_slots", "first_slot")
 
 
 QUERIES = {"op7_mixing": op7_mixing}
@@ -190,9 +200,27 @@ goals AS (
   SELECT source, source_size,
     least((SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1) * w, cap) AS target FROM levels),
 placed AS (
-  SELECT doc_id, size, source_size, target, floor(target) AS t, coalesce(sum(size) OVER (
-    PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+  SELECT doc_id, size, source_size, target, s.source, CAST(floor(target) AS BIGINT) AS t, CAST(coalesce(sum(size) OVER (
+    PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS head, row_number() OVER () AS id
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+counts AS (
+  SELECT source, CAST(ceil(floor(target) / 1024) AS BIGINT) AS n FROM goals),
+firsts AS (
+  SELECT source, n, CAST(coalesce(sum(n) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first,
+    CAST(greatest(1, length(ltrim(bin(greatest(CAST(sum(n) OVER () AS BIGINT), 1) - 1), '0'))) AS INTEGER) AS bits FROM counts),
+points AS (
+  SELECT source, bits, first + unnest(range(n)) AS p FROM firsts),
+reversed AS (
+  SELECT source, list_sum([((p >> k) & 1) << (bits - 1 - k) FOR k IN range(bits)]) AS slot FROM points),
+slots AS (
+  SELECT source, CAST(slot AS BIGINT) AS slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM reversed),
+turns AS (
+  SELECT id, source, size, t, head + e * source_size AS start FROM placed, range(2) r(e) WHERE size > 0 AND head + e * source_size < t),
+covers AS (
+  SELECT id, source, unnest(range(start // 1024, (least(start + size, t) - 1) // 1024 + 1)) AS rank FROM turns),
+played AS (
+  SELECT id, count(*) AS n_slots, min(slot) AS first_slot FROM covers c JOIN slots s ON c.source IS NOT DISTINCT FROM s.source AND c.rank = s.rank GROUP BY id)
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, t - head)) + greatest(0, least(size, t - source_size - head)) AS BIGINT) AS taken FROM placed"""
+  CAST(greatest(0, least(size, t - head)) + greatest(0, least(size, t - source_size - head)) AS BIGINT) AS taken,
+  coalesce(n_slots, 0) AS n_slots, first_slot FROM placed LEFT JOIN played USING (id)"""
 }
