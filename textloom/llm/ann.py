@@ -5,11 +5,14 @@ searches its most probable parts exactly.
 The sample (``SAMPLE`` vectors) only fits the classifier; every row is indexed. How many parts a query
 searches is read off the sample: the fewest that find ``RECALL`` of its held-out queries' true neighbours.
 Equal vectors are one entry with its smallest ids, so copies are searched once and ties still go to smaller
-ids. A part is searched in blocks of at most about ``BLOCK`` vectors against blocks of queries.
+ids. A part is searched in blocks of at most about ``BLOCK`` vectors against blocks of queries. Parts grow with
+the table up to ``MAX_PARTS``, then parts of more blocks.
 
-Edge cases: vectors that are null, of another length than most, zero or with null or non-finite components
-take no part, nor do rows with a null id; repeated ids count each; fewer candidates than k are all returned; an empty table gives an
-empty result.
+Edge cases: vectors that are null, zero or with null or non-finite components take no part, nor do rows with a null
+id. Vectors of another length than most have nearest neighbours among those of their length, all of which are
+searched. Rows of the query's own id are no candidates; other rows with one id count each, and each row that asks is
+answered. Fewer candidates than k are all returned; tables of a few dozen vectors are one part; an empty table
+gives an empty result; columns other than vec_id and embedding aren't read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ SAMPLE = 8192
 RECALL = 0.95
 PART_ROWS = 2048
 MAX_PARTS = 256
+#: A small table has parts of so many vectors, up to FEW_PARTS.
+LEAST_ROWS = 64
+FEW_PARTS = 16
 BLOCK = 4096
 
 
@@ -115,7 +121,7 @@ class Router:
 
 def learn(sample: np.ndarray, parts: int, seed: int = 7) -> tuple[Router | None, int]:
     """The router and the number of parts to search."""
-    if parts < 2 or len(sample) < 4 * parts:
+    if parts < 2 or len(sample) < 32 * parts:
         return None, 1
     rng = np.random.default_rng(seed)
     cut = len(sample) // 10
@@ -142,24 +148,31 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
         & F.exists("embedding", lambda x: x != 0)
     )
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(ok & F.col("vec_id").isNotNull())
-    rows = clean(vectors)
+    # rows of one id and vector are one with a count; of an id no more than k can be among the nearest
+    rows = clean(vectors).groupBy("embedding", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
     # of equal vectors the k + 1 smallest ids can be asked for (one may be the query's own); tasks cut theirs first
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    entries = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0])
-    entries = saved(entries, "entries")
+    entries = few.groupBy("embedding").agg(F.sort_array(F.collect_list(F.struct("vec_id", "times"))).alias("ids"))
+    # entry: a name of the vector; only: the id if it is the only one that has the vector
+    entries = entries.withColumn("entry", F.monotonically_increasing_id()).withColumn("only", F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"]))
+    entries = saved(entries.withColumn("first", F.col("ids")[0]["vec_id"]).withColumn("second", F.get("ids", F.lit(1))["vec_id"]), "entries")
     width = entries.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if width is None:
-        return empty
-    dim, total = width["d"], entries.count()
-    entries = entries.where(F.size("embedding") == dim)
-    parts = max(1, min(MAX_PARTS, total // PART_ROWS))
-    picked = entries.orderBy(F.xxhash64("entry"), "entry").select("embedding").limit(SAMPLE).toPandas()["embedding"]
-    router, probes = learn(np.stack(picked.to_list()) if len(picked) else np.zeros((0, dim)), parts)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, total = width["d"], width["count"]
+    parts = max(1, min(MAX_PARTS, max(total // PART_ROWS, min(FEW_PARTS, total // LEAST_ROWS))))
+    picked = entries.where(F.size("embedding") == dim).orderBy(F.xxhash64("embedding"), "first").select("embedding").limit(SAMPLE).toPandas()["embedding"]
+    router, probes = learn(np.stack(picked.to_list()), parts)
     shared = spark.sparkContext.broadcast(router)  # bounded: (dim + parts) * 128 numbers
 
     def best(batches: Iterator[pd.DataFrame], top: int, keep: list[str]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            size = b["embedding"].map(len)
+            # vectors of another length: a part for each length
+            odd = b[size != dim]
+            if len(odd):
+                yield odd[keep].assign(part=-size[size != dim].astype(np.int64))
+            b = b[size == dim]
             if not len(b):
                 continue
             if shared.value is None:
@@ -170,45 +183,73 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
             for j in range(order.shape[1]):
                 yield b[keep].assign(part=order[:, j].astype(np.int64))
 
-    index = entries.mapInPandas(lambda it: best(it, 1, ["entry", "ids", "embedding"]), "entry long, ids array<long>, embedding array<double>, part long")
+    index = entries.select("entry", "first", F.coalesce("second", "first").alias("second"), F.col("only").isNotNull().alias("only"), "embedding").mapInPandas(lambda it: best(it, 1, ["entry", "first", "second", "only", "embedding"]), "entry long, first long, second long, only boolean, embedding array<double>, part long")
     index = saved(index, "index")
-    asked = clean(queries).where(F.size("embedding") == dim)
-    # equal queries are searched once
-    once = saved(asked.groupBy("embedding").agg(F.min("vec_id").alias("q")), "asked")
-    routed = once.mapInPandas(lambda it: best(it, probes, ["q", "embedding"]), "q long, embedding array<double>, part long")
+    asked = clean(queries)
+    # equal rows are searched once
+    once = saved(asked.groupBy("embedding", "vec_id").agg(F.count("*").alias("asked")).withColumn("q", F.monotonically_increasing_id()), "asked")
+    routed = once.select("q", F.col("vec_id").alias("own"), "embedding").mapInPandas(lambda it: best(it, probes, ["q", "own", "embedding"]), "q long, own long, embedding array<double>, part long")
     sizes = index.groupBy("part").agg(F.count("*").alias("c")).select("part", (F.expr(f"(c - 1) div {BLOCK}") + 1).alias("blocks"))
-    sizes = F.broadcast(sizes)  # one row a part, at most MAX_PARTS
-    left = index.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("entry"), "blocks")).select("part", "block", "entry", "embedding")
+    sizes = F.broadcast(sizes)  # one row a part: MAX_PARTS, and one for each odd length
+    left = index.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("entry"), "blocks")).select("part", "block", "entry", "first", "second", "only", "embedding")
     turns = max(1, once.count() // (BLOCK * parts) + 1)
     left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    right = routed.join(sizes, "part").select("part", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("q"), F.lit(turns)).cast("int").alias("turn"), "q", "embedding")
+    right = routed.join(sizes, "part").select("part", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("q"), F.lit(turns)).cast("int").alias("turn"), "q", "own", "embedding")
 
     def scan(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
-            return pd.DataFrame({"q": np.zeros(0, np.int64), "hits": []})
+            return pd.DataFrame({"q": np.zeros(0, np.int64), "score": np.zeros(0), "entry": np.zeros(0, np.int64), "first": np.zeros(0, np.int64)})
         x, y = np.stack(c["embedding"].to_list()), np.stack(q["embedding"].to_list())
-        ids, names, found = c["entry"].to_numpy(), q["q"].to_numpy(), []
-        wide = min(len(x), k + 21)
-        for at in range(0, len(y), 512):
-            s = y[at : at + 512] @ x.T
-            top = np.argpartition(-s, wide - 1, axis=1)[:, :wide] if wide < len(x) else np.broadcast_to(np.arange(len(x)), s.shape)
-            exact = np.einsum("qd,qkd->qk", y[at : at + 512], x[top])  # the same sum wherever a vector stands
-            order = np.lexsort((ids[top], -exact))[:, : k + 1]
-            top, exact = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-            found += [[{"s": -b, "entry": int(a)} for a, b in zip(ids[t], e, strict=True)] for t, e in zip(top, exact.tolist(), strict=True)]
-        return pd.DataFrame({"q": names, "hits": found})
-
-    hits = left.groupBy("part", "block", "turn").cogroup(right.groupBy("part", "block", "turn")).applyInPandas(scan, "q long, hits array<struct<s:double,entry:long>>")
-    # a query has one short list a searched block
-    best_of = hits.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k + 1).alias("hits"))
-    hits = best_of.select("q", F.explode("hits").alias("h")).select("q", (-F.col("h.s")).alias("score"), F.col("h.entry").alias("entry"))
-    named = hits.join(index.select("entry", "ids"), "entry").select("q", "score", F.explode("ids").alias("vec_id"))
-    # what a distinct query found goes to each row that asked it: at most k + 1 entries of k + 1 ids, cut to k + 1
-    few = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = named.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
-    own = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(once, "embedding").select("query_id", "q")
-    rest = own.join(found, "q").select("query_id", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k).alias("found"))
-    return rest.select("query_id", F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
+        entry, first, second = (c[x].to_numpy(np.int64) for x in ("entry", "first", "second"))
+        only, names, asks, found = c["only"].to_numpy(bool), q["q"].to_numpy(np.int64), q["own"].to_numpy(np.int64), []
+        wide = min(len(x), k + 20)
+
+        def nearest(z: np.ndarray, own: np.ndarray, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+            """The k best of the vectors at ``at`` for each query: places, scores, smallest ids but the query's own."""
+            exact = np.einsum("qd,qkd->qk", z, x[at])  # the same sum wherever a vector stands
+            exact = np.where(np.isneginf(np.take_along_axis(s, at, 1)), -np.inf, exact)
+            names = np.where(first[at] == own[:, None], second[at], first[at])
+            order = np.lexsort((names, -exact))[:, :k]
+            return tuple(np.take_along_axis(a, order, 1) for a in (at, exact, names))
+
+        def put(q: np.ndarray, at: np.ndarray, exact: np.ndarray, names: np.ndarray) -> None:
+            ok = ~np.isneginf(exact)
+            found.append(pd.DataFrame({"q": np.repeat(q, ok.sum(1)), "score": exact[ok], "entry": entry[at[ok]], "first": names[ok]}))
+
+        for lo in range(0, len(y), 512):
+            z, own, q_ = y[lo : lo + 512], asks[lo : lo + 512], names[lo : lo + 512]
+            s = z @ x.T
+            # a vector that only the query's own id has is no candidate
+            s[only[None, :] & (first[None, :] == own[:, None])] = -np.inf
+            if wide == len(x):
+                put(q_, *nearest(z, own, np.broadcast_to(np.arange(len(x)), s.shape), s))
+                continue
+            top = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
+            put(q_, *nearest(z, own, top, s))
+            # where more are as near as the last of them, all of those are compared
+            last = np.sort(np.take_along_axis(s, top, 1), axis=1)[:, -k]
+            as_near = s >= (last - 1e-9 * np.abs(last))[:, None]
+            many = np.flatnonzero((as_near.sum(1) > wide) & ~np.isneginf(last))
+            if len(many):
+                found[-1] = found[-1][~found[-1]["q"].isin(q_[many])]
+                for i in many:
+                    put(q_[i : i + 1], *nearest(z[i : i + 1], own[i : i + 1], np.flatnonzero(as_near[i])[None, :], s[i : i + 1]))
+        return pd.concat(found)
+
+    hits = left.groupBy("part", "block", "turn").cogroup(right.groupBy("part", "block", "turn")).applyInPandas(scan, "q long, score double, entry long, first long")
+    # every task cuts its hits to k a query before they are shuffled
+    near = Window.partitionBy("q").orderBy(F.desc("score"), "first")
+    hits = hits.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).drop("r", "first")
+    named = hits.join(entries.select("entry", "ids"), "entry").select("q", "score", F.inline("ids"))
+    named = named.join(once.select("q", F.col("vec_id").alias("own"), "asked"), "q").where("vec_id <> own")
+    # an id counts as often as it has rows: those before it say where its own rows come
+    before = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    named = named.withColumn("r", F.row_number().over(before)).where(F.col("r") <= k)
+    named = named.withColumn("b", F.coalesce(F.sum("times").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("b") < k)
+    out = named.withColumn("rank", F.explode(F.expr(f"sequence(b + 1, least(b + times, {k}L))")))
+    # each row that asked is answered
+    out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "asked")))
+    return out.select(F.col("own").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
