@@ -2,13 +2,15 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from textloom.llm import packing
 
 
 def brute(spark, docs):
-    tokenizer = packing.Ids(packing.vocabulary()).tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     return {d: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [packing.END], dtype="<u4").tobytes() for d, t in docs}
 
 
@@ -43,7 +45,7 @@ def test_whole_table(spark, sf_dir):
 
 
 def test_odd_texts(spark):
-    odd = ["", None, "  \t ", "It's 5²½ fine", "ΑΣ ας Ελλάς", "a\x1cb a\x85b a\xa0b", "<|endoftext|> x", "日本語 テキスト", "é é", "x" * 9000, "\x00\x01 ¼¾ß µª"]
+    odd = ["", None, "  \t ", "It's 5²½ fine", "ΑΣ ας Ελλάς", "a\x1cb a\x85b a\xa0b", "<|endoftext|> x", "a<|ENDOFTEXT|>b", "x <|startoftext|><|endoftext|>", "日本語 テキスト", "é é", "x" * 9000, "\x00\x01 ¼¾ß µª"]
     docs = list(enumerate(odd))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     check(packing.pack(packing.cut(df)).collect(), brute(spark, docs))

@@ -6,7 +6,8 @@ found once is used for as many windows as the counts allow, so there are at most
 ones. Pieces then take their places by their rank among pieces of the same length; a length that a third of
 all pieces share is ranked in buckets (see ``common.running``).
 
-Edge cases: a null or empty text is the end mark alone; a repeated row is packed once for each time it
+Edge cases: of equally good multisets the one of longer pieces is taken, and pieces of equal length take their
+places in the order of a hash of their id; a null or empty text is the end mark alone; a repeated row is packed once for each time it
 occurs; a text of any length is cut into whole windows first; an empty table gives an empty result. Columns
 other than the id and the text are not read.
 """
@@ -36,7 +37,8 @@ class Ids:
 
     The tokenizer splits a lower-cased text by rule and merges inside the pieces only, so ids of a text are
     those of its pieces in order. Pieces met before are kept, up to ``keep`` of them. Texts of characters
-    beyond Latin-1, for which lower case and classes may differ between libraries, go to the tokenizer whole.
+    beyond Latin-1, for which lower case and classes may differ between libraries, and texts with a special token
+    in them go to the tokenizer whole.
     """
 
     #: The tokenizer's own split rule, for lower-case Latin-1.
@@ -47,7 +49,8 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # such texts have ids of their own wherever they stand
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
         self.pieces: dict[str, bytes] = {}
 
@@ -63,7 +66,10 @@ class Ids:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return None
-        return self._SPLIT.findall(text.lower())
+        text = text.lower()
+        if any(t in text for t in self.special):
+            return None
+        return self._SPLIT.findall(text)
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         known = self.pieces
