@@ -1,11 +1,13 @@
 """Multiple-instance learning of toxicity: a document is a bag of sentences, its probability is the noisy-or of
 theirs, and only documents have labels. The sentences that make a document toxic are found on the way.
 
-A sentence's log-odds are a bias and the weights of the word beginnings in it, so words that were never seen
-count by how they begin. The model is fitted on a bounded sample of labelled rows (``MAX_TRAIN`` of each
+A sentence's log-odds are a bias and the weights of the words and word beginnings in it, each counted once, so words
+that were never seen count by how they begin. Sentences without any such feature say nothing, nor do those below
+``FLOOR``. The model is fitted on a bounded sample of labelled rows (``MAX_TRAIN`` of each
 label, texts up to ``MAX_TRAIN_CHARS``); scoring reads every text whole.
 
-Edge cases: null, empty and wordless texts score 0; rows with a null id are scored and count as not held
+Edge cases: null, empty and wordless texts score 0; a very long text has the score of its telling sentences, however
+many others; equal texts have equal scores; an empty table gives an empty result; rows with a null id are scored and count as not held
 out; repeated rows are scored each; columns other than the id and the text are never read, labels only for
 fitting. Without labelled rows of both kinds the model is the bias alone.
 """
@@ -20,12 +22,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bounded_batches, saved
 
 MAX_TRAIN = 2500
 MAX_TRAIN_CHARS = 20_000
 THRESHOLD = 0.7
+#: Sentences below it aren't evidence, so that length alone never adds up to toxicity.
+FLOOR = 0.05
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = "\t\n\x0b\x0c\r ,;:|*&%$#!?.\"'()[]{}<>-_/\\«»“”‘’"
 LENGTHS = (3, 4, 5)
@@ -37,17 +42,17 @@ def features(word: str) -> list[str]:
 
 
 class Weights(dict):
-    """What a raw word adds to its sentence's log-odds; known words are kept, up to ``keep``."""
+    """The weighted features of a raw word, as pairs; known words are kept, up to ``keep``."""
 
     def __init__(self, weights: dict[str, float], keep: int = 400_000) -> None:
         super().__init__()
         self.weights, self.keep = weights, keep
 
-    def __missing__(self, raw: str) -> float:
+    def __missing__(self, raw: str) -> tuple[tuple[str, float], ...]:
         if len(self) > self.keep:
             self.clear()
         word = raw.lower().strip(_EDGES)
-        got = self[raw] = sum(self.weights.get(f, 0.0) for f in features(word)) if word else 0.0
+        got = self[raw] = tuple((f, self.weights[f]) for f in features(word) if f in self.weights) if word else ()
         return got
 
 
@@ -61,16 +66,15 @@ def score(text: str | None, bias: float, known: Weights) -> tuple[float, int, li
         return 0.0, 0, []
     spans = sentences(text)
     left, found = 0.0, []
-    quiet = -np.log1p(np.exp(bias))  # log(1 - p) of a sentence without telling words
     for a, b in spans:
-        z = sum(map(known.__getitem__, set(text[a:b].split())))
-        if z:
-            p = 1 / (1 + np.exp(-max(-40.0, min(40.0, z + bias))))
-            left += np.log1p(-min(p, 1 - 1e-12))
+        # a feature counts once in a sentence, as in training
+        own = {f: w for pairs in map(known.__getitem__, set(text[a:b].split())) if pairs for f, w in pairs}
+        if own:
+            p = 1 / (1 + np.exp(-max(-40.0, min(40.0, sum(own.values()) + bias))))
+            if p >= FLOOR:
+                left += np.log1p(-min(p, 1 - 1e-12))
             if p >= 0.5:
                 found.append((a, b, float(p)))
-        else:
-            left += quiet
     return float(-np.expm1(left)), len(spans), found
 
 
@@ -95,7 +99,7 @@ def fit(bags: list[list[list[str]]], labels: list[int], rounds: int = 150, rate:
             names.append(f)
     names.sort()
     index = {f: k for k, f in enumerate(names)}
-    rows, columns, bag_of, counts = [], [], [], np.zeros(len(bags))
+    rows, columns, bag_of = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
             got = {index[f] for f in s if f in index}
@@ -103,22 +107,21 @@ def fit(bags: list[list[list[str]]], labels: list[int], rounds: int = 150, rate:
                 rows += [len(bag_of)] * len(got)
                 columns += got
                 bag_of.append(d)
-            else:
-                counts[d] += 1  # sentences that have the bias alone
     rows, columns, bag_of = np.array(rows, np.int64), np.array(columns, np.int64), np.array(bag_of, np.int64)
     w, bias = np.zeros(len(names)), -4.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, rounds + 1):
         z = np.clip(bias + np.bincount(rows, w[columns], len(bag_of)), -30, 30)
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        miss = np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)) + counts * np.log1p(-p0)
+        p = 1 / (1 + np.exp(-z))
+        # sentences without a feature say nothing
+        miss = np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags))
         whole = np.clip(-np.expm1(miss), 1e-12, 1)
         # d log-likelihood / d z of a sentence: p of it, times (1 - P) / P in toxic documents, minus p in others
         pull = np.where(y == 1, (1 - whole) / whole, -1.0)
         g = np.zeros(len(names) + 1)
         s = pull[bag_of] * p
         g[:-1] = np.bincount(columns, s[rows], len(names)) / len(bags) - ridge * w / 10
-        g[-1] = (s.sum() + (pull * counts).sum() * p0) / len(bags)
+        g[-1] = s.sum() / len(bags)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w + step[:-1], max(-12.0, bias + float(step[-1]))
@@ -138,7 +141,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, cha
         picked = part if picked is None else picked.unionByName(part)
     picked = saved(picked, "picked")  # at most 2 * most rows: a bounded broadcast
     got = docs.where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
-    return [(r["text"], r["y"]) for r in got.orderBy("doc_id", "text", "y").limit(4 * most).collect()]
+    # an id that repeats teaches once
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "y")
+    got = got.withColumn("r", F.row_number().over(one)).where("r = 1")
+    return [(r["text"], r["y"]) for r in got.orderBy("doc_id").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
