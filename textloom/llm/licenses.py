@@ -1,10 +1,15 @@
 """Patience alignment of licence templates: words that are unique to both sides anchor the match, the longest
 increasing run of anchors is kept, and the gaps between them are aligned the same way.
 
-A template is found where its aligned words cover at least ``COVER`` of it. The text is read whole: windows
-start wherever a template's rarest words stand, so a notice is found anywhere and as often as it occurs.
+A template is found where its aligned words cover at least ``COVER`` of it and make at least ``COMPACT`` of the words
+from the first to the last of them. The text is read whole: windows start wherever a template's rarest words stand,
+so a notice is found anywhere and as often as it occurs; words that the template doesn't have are left out of its
+windows, so any of them may stand between. Where notices overlap, the best covered is taken.
 
-Edge cases: null and empty texts have no notice; repeated rows and null ids are scanned each; texts with no
+The catalogue has short notices and headers of common families, not the full texts of licences.
+
+Edge cases: an empty table gives an empty result; of notices that overlap and are covered alike, the longer template,
+then the first by name counts; a very long text takes time in proportion to its words; null and empty texts have no notice; repeated rows and null ids are scanned each; texts with no
 template word are finished by one set test; columns other than the id and the text aren't read.
 """
 
@@ -23,9 +28,12 @@ from .common import bounded_batches
 
 #: Share of a template's words that have to be aligned.
 COVER = 0.8
+#: Share of the words from a notice's first to its last that have to be aligned.
+COMPACT = 0.4
 
 # The wording of public licence notices.
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
@@ -33,8 +41,18 @@ TEMPLATES = {
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
+    "BSD-2-Clause": "Released under the BSD 2-Clause License",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License",
+    "BSD-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    ),
+    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -42,6 +60,9 @@ TEMPLATES = {
         "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
         "See the GNU General Public License for more details."
     ),
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
     "MIT": "Released under the MIT License",
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -49,6 +70,8 @@ TEMPLATES = {
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
 }
 
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
@@ -120,6 +143,7 @@ class Scanner:
         for k, t in self.templates.items():
             missing = int(len(t) * (1 - cover) + 1e-9)
             self.keys[k] = sorted(range(len(t)), key=lambda i, t=t: (uses[t[i]], -len(t[i]), i))[: missing + 1]
+        self.words = {k: frozenset(t) for k, t in self.templates.items()}
         self.any = {self.templates[k][i] for k, at in self.keys.items() for i in at}
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
@@ -135,21 +159,32 @@ class Scanner:
         for i, w in enumerate(ws):
             if w in self.any:
                 where.setdefault(w, []).append(i)
-        out = []
+        found = []
         for name, t in self.templates.items():
-            reach = len(t) // 4 + 2
-            starts = sorted({max(0, p - i) for i in self.keys[name] for p in where.get(t[i], ())})
-            past = -1
+            if not any(t[i] in where for i in self.keys[name]):
+                continue
+            # the text's words that the template has; windows count these alone
+            own = [i for i, w in enumerate(ws) if w in self.words[name]]
+            place = {p: k for k, p in enumerate(own)}
+            starts = sorted({max(0, place[p] - i) for i in self.keys[name] for p in where.get(t[i], ())})
+            past = 0
             for s in starts:
-                if s < past:
+                if s + len(t) <= past:
                     continue
-                lo, hi = max(0, s - reach, past), min(len(ws), s + len(t) + reach)
-                pairs = align(t, ws[lo:hi])
+                lo, hi = max(past, s - len(t) // 4 - 2), min(len(own), s + len(t) + len(t) // 4 + 2)
+                pairs = align(t, [ws[i] for i in own[lo:hi]])
                 if len(pairs) < self.cover * len(t):
                     continue
-                first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                out.append((name, spans[first][0], spans[last][1], len(pairs) / len(t)))
-                past = last + 1
+                first, last = own[lo + pairs[0][1]], own[lo + pairs[-1][1]]
+                if len(pairs) < COMPACT * (last - first + 1):
+                    continue
+                found.append((name, spans[first][0], spans[last][1], len(pairs) / len(t), len(t)))
+                past = lo + pairs[-1][1] + 1
+        # of notices that overlap the best covered, then the longest
+        out: list[tuple[str, int, int, float]] = []
+        for x in sorted(found, key=lambda x: (-x[3], -x[4], x[0], x[1])):
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in out):
+                out.append(x[:4])
         return sorted(out, key=lambda x: (x[1], -x[3], x[0]))
 
 
