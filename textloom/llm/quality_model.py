@@ -1,15 +1,17 @@
 """Co-training of document quality: a classifier of the text's words and one of the page's metadata teach each
 other their surest unlabelled rows over some rounds; calibrated, both are combined into one score.
 
-The text view reads words and their shapes (letters by case, digits, other marks as they are). The metadata
-view reads source, language and what describes the page from outside: lengths, line layout, shares of
-character classes, and how much of it repeats. Both are logistic models fitted on bounded samples
-(``MAX_TRAIN`` labelled and ``MAX_POOL`` unlabelled rows, texts up to ``MAX_TRAIN_CHARS``); every document is
-scored whole.
-
-Edge cases: null and empty texts are scored from what they have (no words, length 0); null sources and
-languages are values like others; repeated rows and null ids are scored each; a column missing from the
-input counts as null, other columns aren't read; without labelled rows of both kinds every score is 0.5.
+The text view reads words, their shapes (letters by case, digits, other marks as they are) and how they repeat. The metadata
+view never looks at words: it has source, language, length, and the layout of lines. Both are logistic models
+fitted on bounded samples (``MAX_TRAIN`` labelled and ``MAX_POOL`` unlabelled rows, of any length: their views are
+made where they lie, and only those come to the driver); every document is scored whole. A fifth of the labelled rows
+teaches neither view: it calibrates them and says how much each counts in the combined score.
+
+Edge cases: null and empty texts are scored from what they have (no words, length 0); a very long text has shares of
+its words like any other; equal rows have equal scores, and a row at the threshold is kept; null sources and
+languages are values like others; repeated rows and null ids are scored each, an id that repeats teaches once; a
+column missing from the input counts as null, other columns aren't read; without labelled rows of both kinds every
+score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,22 +25,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bounded_batches, saved
 
 MAX_TRAIN = 2000
 MAX_POOL = 2000
-MAX_TRAIN_CHARS = 20_000
 ROUNDS = 4
 SURE = 100
+#: Log-odds from which a view's guess may teach the other.
+SURE_ODDS = 1.0
 #: Documents scoring below this are rejected: those four times likelier to be bad than good.
 KEEP = 0.2
 DIM = 1 << 15
 
 _SHAPE = [(re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[0-9]+"), "0")]
-_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_DIGITS = b"0123456789"
-_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _slot(name: str) -> int:
@@ -60,34 +61,37 @@ class Slots(dict):
         return got
 
 
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DIGITS = b"0123456789"
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MEASURES = ("distinct", "again", "upper", "digits", "marks", "width")
+
+
 def text_view(text: str, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values (shares of words) of a text."""
-    raw = text.split()
-    if not raw:
+    """Slots and values of a text: its words and shapes (roots of their shares), then what can be measured of the words."""
+    words = text.split()
+    if not words:
         return np.array([_slot("none")]), np.ones(1)
-    flat = np.array([slots[w] for w in raw]).ravel()
+    flat = np.array([slots[w] for w in words]).ravel()
     at, n = np.unique(flat, return_counts=True)
-    return at, np.sqrt(n / len(raw))
+    raw = text.encode("utf-8", "surrogatepass")
+    rate = lambda kind: 10 * (len(raw) - len(raw.translate(None, kind))) / len(raw)
+    again = sum(map(operator.eq, words, words[1:]))
+    values = (len(set(words)) / len(words), again / len(words), rate(_UPPER), rate(_DIGITS), rate(_MARKS), len(raw) / len(words) / 10)
+    return np.append(at, [_slot(f"#{m}") for m in MEASURES]), np.append(np.sqrt(n / len(words)), values)
 
 
-NUMBERS = 12
+NUMBERS = 8
 
 
 def metadata_view(text: str, source: str | None, lang: str | None) -> np.ndarray:
-    """Numbers that describe a page without reading it, then where source and language are hashed to."""
-    raw = text.encode("utf-8", "surrogatepass")
-    n = max(len(raw), 1)
-    words = text.split()
-    w = max(len(words), 1)
+    """Numbers of a page's length and layout, then where source and language are hashed to."""
     lines = text.split("\n")
-    upper = len(raw) - len(raw.translate(None, _UPPER))
-    digits = len(raw) - len(raw.translate(None, _DIGITS))
-    marks = len(raw) - len(raw.translate(None, _MARKS))
-    again = sum(map(operator.eq, words, words[1:]))
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     out = np.zeros(NUMBERS + 64)
     out[:NUMBERS] = (
-        1.0, math.log1p(len(text)) / 10, math.log1p(len(lines)) / 5, math.log1p(n / len(lines)) / 10, 10 * upper / n, 10 * digits / n, 10 * marks / n,
-        len(set(words)) / w, again / w, len(set(lines)) / len(lines), n / w / 10, float(not words),
+        1.0, math.log1p(len(text)) / 10, math.log1p(len(lines)) / 5, math.log1p(len(text) / len(lines)) / 10, math.log1p(int(sizes.max())) / 10,
+        float((sizes == 0).mean()), len(set(lines)) / len(lines), float(not text),
     )
     out[NUMBERS + _slot(f"source{source}") % 48] = 0.3
     out[NUMBERS + 48 + _slot(f"lang{lang}") % 16] = 0.3
@@ -124,36 +128,44 @@ def _logits(model: Logistic, view: list[tuple[np.ndarray, np.ndarray]], pick: np
     return np.bincount(rows, values * model.w[at], len(pick)) + model.b
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn log-odds z into the labels' odds (smoothed targets, Newton steps)."""
+def combined(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and offset (last) that turn rows of log-odds z into the labels' odds (smoothed targets, Newton steps)."""
     n1, n0 = y.sum(), (1 - y).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        s = p * (1 - p)
-        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
-        d = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(d[0], -1, 1)), b - float(np.clip(d[1], -1, 1))
-        if abs(d).max() < 1e-6:
+    x = np.column_stack([z, np.ones(len(z))])
+    w = np.zeros(x.shape[1])
+    ridge = np.full(len(w), 1e-2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - t) + ridge * w)
+        w = w - np.clip(step, -1, 1)
+        if abs(step).max() < 1e-6:
             break
-    return max(a, 0.0), b
+    return w
 
 
 class Model:
-    """Both views' models with their calibrations."""
+    """Both views' models, the calibration of each, and that of both together."""
+
+    def __init__(self, text: Logistic, meta: Logistic, text_cal: np.ndarray, meta_cal: np.ndarray, both: np.ndarray) -> None:
+        self.text, self.meta, self.text_cal, self.meta_cal, self.both = text, meta, text_cal, meta_cal, both
+        self.slots = Slots()
+
+    def scores(self, text: str | None, source: str | None, lang: str | None) -> list[float]:
+        """Probabilities of good quality by the text, by the metadata and by both."""
+        text, source, lang = (x if isinstance(x, str) else None for x in (text, source, lang))
+        at, values = text_view(text or "", self.slots)
+        a = float(values @ self.text.w[at]) + self.text.b
+        c = float(metadata_view(text or "", source, lang) @ self.meta.w) + self.meta.b
+        odds = (a * self.text_cal[0] + self.text_cal[1], c * self.meta_cal[0] + self.meta_cal[1], a * self.both[0] + c * self.both[1] + self.both[2])
+        return [1 / (1 + math.exp(-max(-40.0, min(40.0, float(z))))) for z in odds]
+
 
-    def __init__(self, text: Logistic, meta: Logistic, text_cal: tuple[float, float], meta_cal: tuple[float, float]) -> None:
-        self.text, self.meta, self.text_cal, self.meta_cal = text, meta, text_cal, meta_cal
+View = list[tuple[np.ndarray, np.ndarray]]
 
 
-def co_train(texts: list[tuple[str, str | None, str | None]], y: np.ndarray, rounds: int = ROUNDS, sure: int = SURE) -> Model | None:
-    """texts: (text, source, lang); y: 1, 0, or -1 for unlabelled. A fifth of the labelled rows calibrates."""
-    slots = Slots()
-    one = [text_view(t, slots) for t, _, _ in texts]
-    every = np.arange(NUMBERS + 64)
-    two = [(every, metadata_view(*row)) for row in texts]
+def co_train(one: View, two: View, y: np.ndarray, rounds: int = ROUNDS, sure: int = SURE) -> Model | None:
+    """one, two: the rows' text and metadata views; y: 1, 0, or -1 for unlabelled."""
     known = np.flatnonzero(y >= 0)
     if not len(known) or len(set(y[known])) < 2:
         return None
@@ -179,26 +191,51 @@ def co_train(texts: list[tuple[str, str | None, str | None]], y: np.ndarray, rou
             z = _logits(models[k], view, left)
             order = np.argsort(z, kind="stable")
             bad, good = order[: max(1, round(sure * (1 - share)))], order[::-1][: max(1, round(sure * share))]
-            for i, v in [(i, 0) for i in bad if z[i] < -1] + [(i, 1) for i in good if z[i] > 1]:
+            for i, v in [(i, 0) for i in bad if z[i] < -SURE_ODDS] + [(i, 1) for i in good if z[i] > SURE_ODDS]:
                 taught[1 - k][int(left[i])] = None
                 label[1 - k][int(left[i])] = v
-    cals = [calibrated(_logits(m, v, held), y[held].astype(float)) for m, v in zip(models, (one, two), strict=True)]
-    return Model(models[0], models[1], cals[0], cals[1])
+    z = np.column_stack([_logits(m, v, held) for m, v in zip(models, (one, two), strict=True)])
+    yes = y[held].astype(float)
+    return Model(models[0], models[1], combined(z[:, :1], yes), combined(z[:, 1:], yes), combined(z, yes))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[list[tuple[str, str | None, str | None]], np.ndarray]:
-    """Labelled and unlabelled rows with the smallest hashes of their ids, at most MAX_TRAIN and MAX_POOL."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[View, View, np.ndarray]:
+    """Both views of labelled and unlabelled rows with the smallest hashes of their ids, at most MAX_TRAIN and MAX_POOL."""
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     bad = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN // 2)
     good = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN // 2)
-    short = docs.where(F.length("text") <= MAX_TRAIN_CHARS)
     # every fifth hash without a label would do; the least are taken, as many as the bound allows
     free = docs.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POOL)
     picked = saved(bad.unionByName(good).unionByName(free.withColumn("y", F.lit(-1))), "picked")
-    # at most MAX_TRAIN + MAX_POOL rows: a bounded broadcast
-    got = short.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "source", "lang", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = got.limit(2 * (MAX_TRAIN + MAX_POOL)).collect()
-    return [(r["text"], r["source"], r["lang"]) for r in rows], np.array([r["y"] for r in rows], np.int64)
+    # at most MAX_TRAIN + MAX_POOL rows: a bounded broadcast; an id that repeats teaches once
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang", "y")
+    got = docs.join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").withColumn("r", F.row_number().over(one)).where("r = 1")
+
+    def views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = Slots()
+        every = np.arange(NUMBERS + 64)
+        for b in batches:
+            out = []
+            for i, t, s, g, y in zip(b["doc_id"], b["text"], b["source"], b["lang"], b["y"], strict=True):
+                t, s, g = (x if isinstance(x, str) else None for x in (t, s, g))
+                at, values = text_view(t or "", slots)
+                out.append((i, at, values, every, metadata_view(t or "", s, g), y))
+            yield pd.DataFrame(out, columns=["doc_id", "a1", "v1", "a2", "v2", "y"])
+
+    bounded_batches(docs.sparkSession)
+    rows = got.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source", "lang", "y")
+    rows = rows.mapInPandas(views, "doc_id string, a1 array<long>, v1 array<double>, a2 array<long>, v2 array<double>, y long")
+    # a row has at most DIM slots, however long its text
+    rows = sorted(rows.collect(), key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
+    arrays = lambda a, v: [(np.array(r[a], np.int64), np.array(r[v], float)) for r in rows]
+    return arrays("a1", "v1"), arrays("a2", "v2"), np.array([r["y"] for r in rows], np.int64)
+
+
+def hash_of(name: str) -> int:
+    """A number that orders training rows without regard to their ids' order."""
+    import zlib
+
+    return zlib.crc32(name.encode())
 
 
 def _with_columns(docs: DataFrame) -> DataFrame:
@@ -219,16 +256,9 @@ def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        weigh = {} if m is None else Weighed(m.text)
         for b in batches:
-            out = np.full((len(b), 3), 0.5)
-            for i, (t, s, g) in enumerate(zip(b["text"].tolist(), b["source"].tolist(), b["lang"].tolist(), strict=True)):
-                if m is None:
-                    break
-                t = t if isinstance(t, str) else ""
-                a = m.text_cal[0] * weigh.logit(t) + m.text_cal[1]
-                c = m.meta_cal[0] * float(metadata_view(t, s if isinstance(s, str) else None, g if isinstance(g, str) else None) @ m.meta.w + m.meta.b) + m.meta_cal[1]
-                out[i] = [1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) for z in (a, c, (a + c) / 2)]
+            rows = zip(b["text"].tolist(), b["source"].tolist(), b["lang"].tolist(), strict=True)
+            out = np.array([m.scores(*r) if m else [0.5] * 3 for r in rows]).reshape(-1, 3)
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_score": out[:, 0], "meta_score": out[:, 1], "score": out[:, 2]})
 
     bounded_batches(docs.sparkSession)
@@ -237,38 +267,18 @@ def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-class Weighed:
-    """Log-odds of texts under the text view."""
-
-    def __init__(self, model: Logistic) -> None:
-        self.model, self.slots = model, Slots()
-
-    def logit(self, text: str) -> float:
-        at, values = text_view(text, self.slots)
-        return float(values @ self.model.w[at]) + self.model.b
-
-
 def filtered(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` (all their columns) that score ``keep`` or more."""
+    """The rows of ``docs`` (all their columns) that score ``keep`` or more; without a model all."""
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     have = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        m = shared.value
-        weigh = None if m is None else Weighed(m.text)
-        for text, source, lang in batches:
-            out = []
-            for t, s, g in zip(text.tolist(), source.tolist(), lang.tolist(), strict=True):
-                if m is None:
-                    out.append(True)
-                    continue
-                t = t if isinstance(t, str) else ""
-                a = m.text_cal[0] * weigh.logit(t) + m.text_cal[1]
-                c = m.meta_cal[0] * float(metadata_view(t, s if isinstance(s, str) else None, g if isinstance(g, str) else None) @ m.meta.w + m.meta.b) + m.meta_cal[1]
-                out.append(a + c >= 2 * math.log(keep / (1 - keep)))
-            yield pd.Series(out, dtype=bool)
-
-    good = F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([shared.value.scores(*r)[2] >= keep for r in zip(*(c.tolist() for c in columns), strict=True)], dtype=bool)
+
     bounded_batches(docs.sparkSession)
     arg = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
     return docs.where(good(F.col("text"), arg("source"), arg("lang")))
