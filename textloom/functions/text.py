@@ -1,13 +1,17 @@
 """Text rules as columns: accent folding, tokens, stems, sentences and cuts.
 
-All are built-in expressions. Single letters are folded by one ``translate``; only texts with other
+All but the stemmer are built-in expressions. Single letters are folded by one ``translate``; only texts with other
 characters take the regular expressions for them.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Common Portuguese words that carry no content, without accents.
 STOP_WORDS = tuple(
@@ -61,28 +65,63 @@ def keeps_token(w: Column) -> Column:
     return (F.length(w) >= MIN_TOKEN) & (F.length(w) <= MAX_TOKEN) & ~w.rlike(r"(.)\1{%d}" % (MAX_RUN - 1)) & ~w.isin(*STOP_WORDS)
 
 
-def stem(w: Column, fix_ens: bool = False) -> Column:
+_VOWELS = frozenset("aeiou")
+
+
+def stem(w: str, fix_ens: bool = False) -> str:
     """The first rule that fits; with ``fix_ens`` the ending -ens becomes -em."""
-    n = F.length(w)
-    cut = lambda k: F.substring(w, F.lit(1), n - k)
-    ens = F.concat(cut(3), F.lit("em")) if fix_ens else F.concat(cut(1), F.lit("m"))
-    return (
-        F.when((n > 7) & w.endswith("mente"), cut(5))
-        .when((n > 3) & w.endswith("oes"), F.concat(cut(3), F.lit("ao")))
-        .when((n > 4) & w.rlike("[aeou]is$"), F.concat(cut(2), F.lit("l")))
-        .when((n > 3) & w.endswith("ens"), ens)
-        .when((n > 4) & w.rlike("[^aeiou]es$"), cut(2))
-        .when((n > 3) & w.rlike("[^s]s$"), cut(1))
-        .when((n > 4) & w.rlike("[aei]r$"), cut(1))
-        .when((n > 6) & w.endswith("ndo"), cut(3))
-        .when((n > 5) & w.rlike("[ai]do$"), cut(2))
-        .otherwise(w)
-    )
+    n = len(w)
+    if n > 7 and w.endswith("mente"):
+        return w[:-5]
+    if n > 3 and w.endswith("oes"):
+        return w[:-3] + "ao"
+    if n > 4 and w.endswith("is") and w[-3] in "aeou":
+        return w[:-2] + "l"
+    if n > 3 and w.endswith("ens"):
+        return w[:-3] + "em" if fix_ens else w[:-1] + "m"
+    if n > 4 and w.endswith("es") and w[-3] not in _VOWELS:
+        return w[:-2]
+    if n > 3 and w.endswith("s") and w[-2] != "s":
+        return w[:-1]
+    if n > 4 and w.endswith("r") and w[-2] in "aei":
+        return w[:-1]
+    if n > 6 and w.endswith("ndo"):
+        return w[:-3]
+    if n > 5 and w.endswith("do") and w[-3] in "ai":
+        return w[:-2]
+    return w
+
+
+_STOPS = frozenset(STOP_WORDS)
+_SAME = re.compile(r"(.)\1{%d}" % (MAX_RUN - 1))
+
+
+class Stems(dict):
+    """Stem of each folded word, None for words without content; forgets when it is full."""
+
+    def __missing__(self, w: str) -> str | None:
+        if len(self) > 400_000:
+            self.clear()
+        keeps = MIN_TOKEN <= len(w) <= MAX_TOKEN and w not in _STOPS and not _SAME.search(w)
+        got = self[w] = stem(w) if keeps else None
+        return got
+
+
+_stems = Stems()
+
+
+def stemmed(folded: str | None) -> list[str] | None:
+    return None if folded is None else [s for s in map(_stems.__getitem__, folded.split()) if s]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _tokens(folded: pd.Series) -> pd.Series:
+    return folded.map(stemmed, na_action=None)
 
 
 def tokens(text: Column) -> Column:
-    """Stems of the tokens that carry content, in order."""
-    return F.transform(F.filter(raw_tokens(text), keeps_token), lambda w: stem(w))
+    """Stems of the tokens that carry content, in order: folding is built in, each word is stemmed once a worker."""
+    return _tokens(fold(text))
 
 
 def blank_words(text: Column) -> Column:

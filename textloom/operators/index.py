@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, DoubleType
 
-from textloom.functions.hashing import fnv1a
+from textloom.functions.hashing import fnv1a_all
 from textloom.functions.text import text_is_rich, tokens
 
 DIM = 384
@@ -25,17 +27,35 @@ def grams(toks: Column) -> Column:
     return F.concat(one, F.when(F.size(toks) > 1, two).otherwise(F.slice(one, 1, 0)))
 
 
-def embed(rows: DataFrame, key: str, toks: str = "toks", dim: int = DIM) -> DataFrame:
-    """(key, bucket, w): hashed counts, dampened and scaled to length 1.
+def vectors_of(tokens: list[list[str]], dim: int = DIM) -> np.ndarray:
+    """A dense row for each list of tokens: hashed counts of tokens and pairs, dampened and scaled to length 1.
 
-    Grams are summed before they are hashed, so a gram is hashed once a row however often it occurs.
+    Distinct tokens of the lists are hashed once; a pair's hash goes on from that of its first token.
     """
-    counts = rows.select(key, F.inline(grams(F.col(toks)))).groupBy(key, "gram").agg(F.sum("weight").alias("weight"))
-    put = counts.withColumn("bucket", (fnv1a("gram") % dim).cast("int")).groupBy(key, "bucket").agg(F.sum("weight").alias("v"))
-    w = 1 + F.log("v")
-    put = put.withColumn("w", w)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return put.select(key, "bucket", F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("w"))
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    codes, names = pd.factorize(np.array([w for t in tokens for w in t], object)) if sizes.sum() else (np.zeros(0, np.int64), [])
+    rows = np.repeat(np.arange(len(tokens)), sizes)
+    own = fnv1a_all(list(names))
+    same = rows[1:] == rows[:-1]
+    pairs, at = np.unique(codes[:-1][same] * len(names) + codes[1:][same], return_inverse=True)
+    two = fnv1a_all([f" {names[k]}" for k in (pairs % max(len(names), 1)).tolist()], own[pairs // max(len(names), 1)])
+    place = np.concatenate([rows * dim + own[codes] % dim, rows[1:][same] * dim + two[at] % dim]) if len(codes) else np.zeros(0, np.int64)
+    weight = np.concatenate([np.ones(len(codes)), np.full(len(at), 0.5)])
+    v = np.bincount(place, weight, len(tokens) * dim).reshape(len(tokens), dim)
+    w = np.where(v > 0, 1 + np.log(np.where(v > 0, v, 1)), 0.0)
+    norm = np.sqrt((w * w).sum(1, keepdims=True))
+    return w / np.where(norm > 0, norm, 1)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def vector(toks: pd.Series) -> pd.Series:
+    """A dense vector for each array of tokens."""
+    return pd.Series(list(vectors_of([[] if t is None else list(t) for t in toks])))
+
+
+def embed(rows: DataFrame, key: str, toks: str = "toks") -> DataFrame:
+    """(key, bucket, w): the buckets of ``vector`` that something falls into."""
+    return rows.select(key, F.posexplode(vector(F.col(toks))).alias("bucket", "w")).where("w <> 0")
 
 
 def l2_normalize(v: Column) -> Column:
@@ -50,28 +70,45 @@ def cosine(a: Column, b: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (term, chunk_id, tf, doc_len), stats (chunk_id, doc_len, valid, tok_str, page, text), corpus (n, avgdl), terms (term, df, idf), vectors (chunk_id, bucket, w)."""
+    """postings (term, chunk_id, doc_len, tf), stats (chunk_id, doc_len, valid, tok_str, page, text, v), corpus (n, avgdl), terms (term, df, idf).
+
+    ``v`` is a chunk's dense vector; a chunk's place in the ranking needs nothing but its row of stats.
+    """
 
     postings: DataFrame
     stats: DataFrame
     corpus: DataFrame
     terms: DataFrame
-    vectors: DataFrame
+
+    @property
+    def vectors(self) -> DataFrame:
+        """(chunk_id, bucket, w)."""
+        return self.stats.select("chunk_id", F.posexplode("v").alias("bucket", "w")).where("w <> 0")
 
     def cached(self) -> Index:
-        for t in (self.postings, self.stats, self.terms, self.vectors, self.corpus):
+        for t in (self.postings, self.stats, self.terms, self.corpus):
             t.cache()
         return self
 
+    def save(self, path: str) -> Index:
+        """Writes the tables under a folder and reads them back: built once, asked often."""
+        for f in fields(self):
+            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+        return Index.load(self.stats.sparkSession, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(Index)})
+
 
 def tokenized(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("toks", tokens(F.col("text")))
 
 
-def chunk_stats(rows: DataFrame) -> DataFrame:
+def chunk_stats(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(
         "chunk_id", F.size("toks").alias("doc_len"), text_is_rich(F.col("text"), F.size("toks")).alias("valid"),
-        F.array_join("toks", " ").alias("tok_str"), F.col("page_start").alias("page"), "text",
+        F.array_join("toks", " ").alias("tok_str"), F.col("page_start").alias("page"), "text", *more,
     )
 
 
@@ -88,10 +125,11 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def build_index(chunks: DataFrame) -> Index:
+    """Chunks are tokenised once: every table is made of the tokens in ``stats``."""
     rows = tokenized(chunks)
-    stats = chunk_stats(rows)
-    post = postings(rows)
+    stats = chunk_stats(rows.withColumn("v", vector(F.col("toks"))), "v").cache()
+    post = postings(stats.select("chunk_id", F.array_remove(F.split("tok_str", " "), "").alias("toks")))
     corpus = corpus_stats(stats)
     # the corpus is one row: a broadcast of it is bounded
     terms = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
-    return Index(post, stats, corpus, terms, embed(rows, "chunk_id"))
+    return Index(post, stats, corpus, terms)

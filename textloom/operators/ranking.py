@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import tokens
-from textloom.operators.index import B, K1, Index, embed
+from textloom.operators.index import B, K1, Index, embed, vectors_of
 
 SATURATION, SPARSE, LEXICAL, PHRASE = 8.0, 0.6, 0.4, 0.2
 TOP_K = 3
@@ -66,18 +69,95 @@ def hybrid_scores(index: Index, questions: DataFrame) -> DataFrame:
     return rows.select("q_id", "chunk_id", F.when(F.col("valid"), boosted).otherwise(0.0).alias("score"), (phrase & F.col("valid")).alias("phrase"))
 
 
+class _Block:
+    """A bounded number of questions as arrays: what a batch of chunks is ranked against."""
+
+    def __init__(self, asked: list[tuple[int, list[str]]], idf: dict[str, float], avgdl: float, k: int) -> None:
+        self.ids = np.array([q for q, _ in asked], np.int64)
+        self.avgdl, self.k = avgdl, k
+        self.vectors = vectors_of([t for _, t in asked])
+        self.phrases = [f" {' '.join(t)} " for _, t in asked]
+        self.n_terms = np.array([len(set(t)) for _, t in asked], np.int64)
+        self.code = {t: c for c, t in enumerate(idf)}
+        # for each term the questions that have it and what it weighs there
+        rows = [(self.code[t], q, n * idf[t]) for q, (_, toks) in enumerate(asked) for t, n in Counter(toks).items() if t in idf]
+        rows.sort()
+        self.asks = np.array([r[1] for r in rows], np.int64)
+        self.weight = np.array([r[2] for r in rows], float)
+        self.first = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(len(idf) + 1))
+
+    def scores(self, chunks: pd.DataFrame) -> np.ndarray:
+        """Fused scores of a batch's chunks (rows) for all questions (columns)."""
+        n, m = len(chunks), len(self.ids)
+        words = [[c for w in t.split() if (c := self.code.get(w)) is not None] for t in chunks["tok_str"]]
+        size = np.array([len(w) for w in words], np.int64)
+        met, tf = np.unique(np.repeat(np.arange(n), size) * len(self.code) + np.array([c for w in words for c in w], np.int64), return_counts=True)
+        chunk, term = met // max(len(self.code), 1), met % max(len(self.code), 1)
+        length = chunks["doc_len"].to_numpy(float)[chunk]
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.avgdl))
+        often = self.first[term + 1] - self.first[term] if len(term) else np.zeros(0, np.int64)
+        at = np.repeat(self.first[term] if len(term) else often, often) + np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+        cell = np.repeat(chunk, often) * m + self.asks[at]
+        raw = np.bincount(cell, np.repeat(part, often) * self.weight[at], n * m).reshape(n, m)
+        out = np.maximum(np.stack(chunks["v"].to_list()) @ self.vectors.T, 0.0) * SPARSE
+        out += LEXICAL * raw / (raw + SATURATION)
+        # only a chunk that has every term can have the phrase
+        whole = np.bincount(cell, minlength=n * m).reshape(n, m)
+        text = chunks["tok_str"].tolist()
+        for i, q in zip(*np.nonzero((whole >= self.n_terms) & (self.n_terms > 0)), strict=True):
+            if self.phrases[q] in f" {text[i]} ":
+                out[i, q] = min(1.0, out[i, q] + PHRASE)
+        out[~chunks["valid"].to_numpy(bool)] = 0.0
+        return out
+
+    def best(self, chunks: pd.DataFrame) -> pd.DataFrame:
+        """The k best chunks of a batch for each question, ties to the smaller id."""
+        chunks = chunks.sort_values("chunk_id")
+        ids, found = chunks["chunk_id"].to_numpy(np.int64), []
+        scores = self.scores(chunks)
+        near = np.round(scores, 6)
+        every = np.arange(len(self.ids))
+        for _ in range(min(self.k, len(ids))):
+            i = near.argmax(0)  # the first of equal ones
+            found.append(pd.DataFrame({"q_id": self.ids, "chunk_id": ids[i], "score": scores[i, every]}))
+            near[i, every] = -1.0
+        return pd.concat(found)
+
+
+#: Questions that are ranked at a time: their vectors and terms are broadcast.
+ASKED = 2048
+SCANNED = 512
+
+
 def top_k(index: Index, questions: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(q_id, rank, chunk_id, score): the k best chunks, ties to the smaller id; chunks without a match fill up with 0.
+    """(q_id, rank, chunk_id, score): the k best chunks, ties to the smaller id; chunks without a match score 0.
 
-    If fewer than k chunks match, the k smallest chunk ids hold enough others, so only those are added.
+    Questions come in blocks of about ASKED. A block is broadcast; every batch of chunks is compared with it by one
+    matrix product and one walk over shared terms, and gives away its k best of each question. Nothing else is
+    shuffled: there are no pairs.
     """
     k = k if k > 0 else TOP_K
-    fill = index.stats.select("chunk_id").orderBy("chunk_id").limit(k)  # k rows: a bounded broadcast
-    pad = questions.select("q_id").crossJoin(F.broadcast(fill)).withColumn("score", F.lit(0.0))
-    scored = hybrid_scores(index, questions).select("q_id", "chunk_id", "score")
-    every = scored.unionByName(pad).groupBy("q_id", "chunk_id").agg(F.max("score").alias("score"))
+    spark = questions.sparkSession
+    asked = questions.select("q_id", "toks").cache()
+    blocks = -(-asked.count() // ASKED)
+    avgdl = index.corpus.first()["avgdl"]
+    out = None
+    for b in range(max(blocks, 1)):
+        own = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(max(blocks, 1))) == b)
+        rows = [(r["q_id"], r["toks"] or []) for r in own.collect()]
+        idf = {r["term"]: r["idf"] for r in index.terms.join(F.broadcast(own.select(F.explode("toks").alias("term")).distinct()), "term").select("term", "idf").collect()}
+        block = spark.sparkContext.broadcast(_Block(rows, idf, avgdl, k))
+
+        def scan(batches, block=block):
+            for batch in batches:
+                for at in range(0, len(batch), SCANNED):
+                    if len(block.value.ids):
+                        yield block.value.best(batch.iloc[at : at + SCANNED])
+
+        found = index.stats.select("chunk_id", "doc_len", "valid", "tok_str", "v").mapInPandas(scan, "q_id long, chunk_id long, score double")
+        out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("q_id").orderBy(F.desc(F.round("score", 6)), "chunk_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @dataclass(frozen=True)

@@ -37,7 +37,7 @@ def _chunks(s: SparkSession, d: str, hashed: bool = False) -> DataFrame:
 
 def _index(s: SparkSession, d: str) -> index.Index:
     # tokens are made once and read by every table of the index
-    return index.build_index(_chunks(s, d).cache()).cached()
+    return index.build_index(_chunks(s, d)).cached()
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
@@ -151,6 +151,7 @@ def stems(s, d):
 
 @registered("embed_buckets", "SELECT chunk_id, bucket, round(w, 9) AS w FROM vectors_raw", "vectors_raw")
 def embed_buckets(s, d):
+    # the steps of a vector one by one, as columns
     rows = index.tokenized(_chunks(s, d))
     counts = rows.select("chunk_id", F.inline(index.grams(F.col("toks")))).groupBy("chunk_id", "gram").agg(F.sum("weight").alias("weight"))
     put = counts.withColumn("bucket", (fnv1a("gram") % index.DIM).cast("int")).groupBy("chunk_id", "bucket").agg(F.sum("weight").alias("v"))
@@ -187,9 +188,7 @@ def query_embed(s, d):
 
 @registered("embeddings_dense")
 def embeddings_dense(s, d):
-    v = index.embed(_asked(s, d), "q_id").groupBy("q_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(index.DIM - 1)), lambda k: F.round(F.coalesce(F.try_element_at("m", k), F.lit(0.0)), 6))
-    return v.select("q_id", dense.alias("embedding"))
+    return _asked(s, d).select("q_id", F.transform(index.vector(F.col("toks")), lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @registered("chunk_valid", "SELECT chunk_id, doc_len, valid FROM stats", "stats")
