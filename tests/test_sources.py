@@ -8,9 +8,9 @@ from textloom.sources import blocks, config, pdf
 
 
 def test_txt(spark):
-    df = spark.createDataFrame([(1, "Primeiro paragrafo\nainda\n\nSegundo paragrafo\n"), (2, ""), (3, None), (4, "\n" * 60 + "x")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "Uma linha curta\noutra linha\n\nMais abaixo\n"), (2, ""), (3, None), (4, "\n" * 60 + "x")], "doc_id long, text string")
     rows = [(r.doc_id, r.block_no, r.text, r.page) for r in blocks.txt_blocks(df).orderBy("doc_id", "block_no").collect()]
-    assert rows == [(1, 0, "Primeiro paragrafo\nainda", 1), (1, 1, "Segundo paragrafo", 1), (4, 0, "x", 2)]
+    assert rows == [(1, 0, "Uma linha curta\noutra linha", 1), (1, 1, "Mais abaixo", 1), (4, 0, "x", 2)]
 
 
 def test_csv(spark):
@@ -40,29 +40,33 @@ def text_of(content):
 
 
 def test_pdf_operators():
-    assert pdf.content_text(b"BT [(Ola) -250 (mundo)] TJ ET").split() == ["Ola", "mundo"]
-    assert pdf.content_text(b"BT [(H)-20 (e)15 (llo)] TJ ET").strip() == "Hello"
-    assert pdf.content_text(b"BT [(A) -50 (B)] TJ ET").strip() == "AB" and pdf.content_text(b"BT [(A) -50 (B)] TJ ET", tj_space=-10).strip() == "A B"
-    assert pdf.content_text(b"BT [(A) 600 (B)] TJ ET").strip() == "A B" and pdf.content_text(b"BT [(A) 600 (B)] TJ ET", tj_jump=10000).strip() == "AB"
-    assert "linha um" in pdf.content_text(b"BT (linha um) ' (two \\(x\\) \\101) Tj ET") and "two (x) A" in pdf.content_text(b"BT (two \\(x\\) \\101) Tj ET")
-    assert pdf.content_text(b"BT <FEFF00E90041> Tj <4F6C61> Tj ET").strip() == "éAOla"
+    show = lambda ops, **k: pdf.content_text(b"BT " + ops + b" ET", **k).strip()
+    assert show(b"[(vento) -310 (norte)] TJ") == "vento norte" and show(b"[(ca)-35 (sa)12 (rao)] TJ") == "casarao"
+    assert show(b"[(p) -80 (q)] TJ") == "pq" and show(b"[(p) -80 (q)] TJ", tj_space=-40) == "p q"
+    assert show(b"[(p) 720 (q)] TJ") == "p q" and show(b"[(p) 720 (q)] TJ", tj_jump=900) == "pq"
+    # a space after each string that is shown, a new line after ' and "
+    assert show(b"(rio) Tj (mar) Tj (sal) Tj") == "rio mar sal" and show(b"[(rio)] TJ [(mar)] TJ") == "rio mar"
+    assert show(b"(rio) Tj (mar) ' (sal) Tj") == "rio mar\nsal" and show(b'1 2 (rio) " (mar) Tj') == "rio\nmar"
+    # only the last string is shown
+    assert show(b"(rio) (mar) Tj") == "mar"
+    assert show(b"(tres \\(t\\) \\102) Tj") == "tres (t) B" and show(b"<FEFF00FA006D> Tj <646F6973> Tj") == "úm dois"
 
 
 def test_pdf_filters():
-    body = b"BT (Texto dentro) Tj ET"
+    body = b"BT (quatro ventos) Tj ET"
     for name, data in ((b"/FlateDecode", zlib.compress(body)), (b"/AHx", body.hex().encode() + b">"), (b"/A85", base64.a85encode(body) + b"~>"), (b"[/A85 /Fl]", base64.a85encode(zlib.compress(body)) + b"~>")):
-        assert text_of(stream(data, name)) == "Texto dentro"
+        assert text_of(stream(data, name)) == "quatro ventos"
     run = bytes([len(body) - 1]) + body + b"\x80"
-    assert text_of(stream(run, b"/RL")) == "Texto dentro"
+    assert text_of(stream(run, b"/RL")) == "quatro ventos"
     found, stats = pdf.extract(b"%PDF\n" + stream(b"broken", b"/Fl") + stream(body))
-    assert stats["failed_inflate"] == 1 and found == [(1, "Texto dentro")]
+    assert stats["failed_inflate"] == 1 and found == [(1, "quatro ventos")]
 
 
 def test_pdf_reader(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(pdf.synthetic(["one page", "second page"]))
     (tmp_path / "b.txt").write_text("plain text", encoding="utf-8")
     (tmp_path / "c.csv").write_text("a;b", encoding="utf-8")
-    rows = {(r.doc_id.rsplit("/", 1)[-1], r.page, r.text) for r in blocks.read_blocks(spark, str(tmp_path)).collect()}
+    rows = {(r.path.rsplit("/", 1)[-1], r.page, r.text) for r in blocks.read_blocks(spark, str(tmp_path)).collect()}
     assert rows == {("a.pdf", 1, "one page"), ("a.pdf", 2, "second page"), ("b.txt", 1, "plain text"), ("c.csv", 1, "a | b")}
 
 
@@ -71,10 +75,10 @@ def test_config(tmp_path, monkeypatch):
     (tmp_path / "o.json").write_text(json.dumps({"chunking": {"overlap": 5}, "remote": {"api_key": "x"}}), encoding="utf-8")
     s = config.load_config(str(tmp_path / "c.yaml"), str(tmp_path / "o.json"), top_k=7)
     assert (s.max_words, s.overlap, s.threshold, s.top_k, s.extra) == (100, 5, 0.4, 7, {})
-    for kind, t in (("choice", "[C:{{trecho}}|p{{pagina}}]"), ("score", '{"enunciado": "[S:{{min}}-{{max}}]"}')):
+    for kind, t in (("choice", "Escolha: {{trecho}} (folha {{pagina}})"), ("score", '{"enunciado": "Nota de {{min}} ate {{max}}"}')):
         (tmp_path / f"question_{kind}.tpl").write_text(t, encoding="utf-8")
     t = config.load_templates(str(tmp_path))
-    assert t.choice == "[C:{{trecho}}|p{{pagina}}]" and t.score == "[S:{{min}}-{{max}}]" and t.noul == config.Templates().noul
+    assert t.choice == "Escolha: {{trecho}} (folha {{pagina}})" and t.score == "Nota de {{min}} ate {{max}}" and t.noul == config.Templates().noul
     (tmp_path / "key").write_text("# c\nMY_KEY=a\nMY_KEY=b\n", encoding="utf-8")
     monkeypatch.delenv("MY_KEY", raising=False)
     assert config.resolve_secret(None, "MY_KEY", str(tmp_path / "key")) == "b" and config.resolve_secret("f", "MY_KEY") == "f"

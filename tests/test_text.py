@@ -21,6 +21,17 @@ def test_tokens(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(T.tokens(F.col("t"))).first()[0] == want
 
 
+def test_tables_hold_what_they_should():
+    # literal values, so that a slip in a table can't pass by being in query and SQL alike
+    assert {"nao", "voce", "etc", "quando", "seja"} <= set(T.STOP_WORDS) and "livro" not in T.STOP_WORDS
+    assert [T.stem(w) for w in ("animais", "limoes", "cantando", "lentamente", "vendido", "mares", "comer", "passo")] == ["animal", "limao", "canta", "lenta", "vendi", "mar", "come", "passo"]
+
+
+def test_folded_words(spark):
+    got = spark.createDataFrame([("Ação PÊSSEGO über Ñandú Straße",)], "t string").select(T.fold(F.col("t"))).first()[0]
+    assert got.split() == ["acao", "pessego", "uber", "nandu", "strasse"]
+
+
 def test_stem_flag(spark):
     assert T.stem("homens", True) == "homem" and T.stem("homens") == "homenm"
 

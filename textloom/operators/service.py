@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.index import Index
+from textloom.operators.ranking import decide, questions_of, top_k
+
 SLICE = 6
 # Error codes of JSON-RPC.
 PARSE_ERROR, NO_METHOD, BAD_PARAMS = -32700, -32601, -32602
@@ -22,6 +25,24 @@ def route(requests: DataFrame, packages: DataFrame, default: str) -> DataFrame:
     return rows.select("request_id", "package_id", F.coalesce("known", F.lit(False)).alias("found"))
 
 
+def ask(packages: list[tuple[str, Index]], requests: DataFrame, default: str) -> DataFrame:
+    """requests (request_id, model, question) -> their decisions with package_id, each from the index of its package.
+
+    A service has a handful of packages, of different names; requests for others are answered by none.
+    """
+    names = [n for n, _ in packages]
+    if len(set(names)) < len(names):
+        raise ValueError("two packages have one name")
+    spark = requests.sparkSession
+    routed = route(requests, spark.createDataFrame([(n,) for n in names], "package_id string"), default).where("found").join(requests.select("request_id", "question"), "request_id")
+    out = None
+    for name, index in packages:
+        q = questions_of(routed.where(F.col("package_id") == name), "request_id", "question")
+        got = decide(index, q, top_k(index, q)).withColumn("package_id", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def last_prompt(turns: DataFrame) -> DataFrame:
     """(conv_id, prompt): the last turn of any role."""
     return turns.groupBy("conv_id").agg(F.max_by("text", F.struct("turn", "text")).alias("prompt"))

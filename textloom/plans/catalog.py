@@ -15,6 +15,8 @@ from textloom.sources import blocks, pdf
 
 QUERIES = {}
 SQL = {}
+#: SQL that is too slow for whole tables; tests compare it on the smallest.
+SLOW_SQL = {}
 
 
 def registered(name: str, sql: str | None = None, *needs: str):
@@ -28,7 +30,13 @@ def registered(name: str, sql: str | None = None, *needs: str):
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return _spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of a few files dealt to all cores; tables with more parts than cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def _chunks(s: SparkSession, d: str, hashed: bool = False) -> DataFrame:
@@ -77,7 +85,8 @@ def json_blocks(s, d):
     return blocks.json_blocks(e.select(F.col("event_id").alias("doc_id"), text.alias("text")))
 
 
-@registered("pdf_blocks")
+@registered("pdf_blocks", f"""SELECT CAST(item_id AS VARCHAR) AS doc_id, 0 AS block_no, {O.trim("replace(text, chr(10), ' ' || chr(10))")} AS text, 1 AS page, 1 AS total_streams, 1 AS text_streams,
+  0 AS failed_inflate, 0 AS failed_decode, 0 AS used_fallback FROM benchmark""")
 def pdf_blocks(s, d):
     make = F.udf(lambda t: pdf.synthetic([t]), "binary")  # a test's files; the reader itself works on batches
     return pdf.pdf_blocks(s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), make("text").alias("content")))
@@ -119,7 +128,8 @@ def chunk_hash(s, d):
     return _chunks(s, d, True).select("chunk_id", "hash")
 
 
-@registered("chunk_crc")
+@registered("chunk_crc", """SELECT chunk_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(text), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+  lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM chunks, crc_table""", "chunks", "crc_table")
 def chunk_crc(s, d):
     return _chunks(s, d).select("chunk_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
@@ -186,7 +196,8 @@ def query_embed(s, d):
     return index.embed(_asked(s, d), "q_id").withColumn("w", F.round("w", 9))
 
 
-@registered("embeddings_dense")
+@registered("embeddings_dense", """SELECT q_id, list(round(coalesce(w, 0.0::DOUBLE), 6) ORDER BY k) AS embedding FROM (SELECT q_id, k FROM asked, range(384) r(k))
+  LEFT JOIN (SELECT q_id, bucket AS k, w FROM qvec) USING (q_id, k) GROUP BY q_id""", "asked", "qvec")
 def embeddings_dense(s, d):
     return _asked(s, d).select("q_id", F.transform(index.vector(F.col("toks")), lambda x: F.round(x, 6)).alias("embedding"))
 
@@ -212,9 +223,9 @@ def shorten(s, d):
     return _docs(s, d).select("doc_id", T.shorten(F.col("text"), 160).alias("short"))
 
 
-@registered("render", "SELECT item_id, '[C:' || text || '|p' || item_id || '] {{outro}}' AS rendered FROM benchmark")
+@registered("render", "SELECT item_id, 'Escolha: ' || text || ' (folha ' || item_id || ') {{outro}}' AS rendered FROM benchmark")
 def render(s, d):
-    return _benchmark(s, d).select("item_id", T.render("[C:{{trecho}}|p{{pagina}}] {{outro}}", trecho=F.col("text"), pagina=F.col("item_id")).alias("rendered"))
+    return _benchmark(s, d).select("item_id", T.render("Escolha: {{trecho}} (folha {{pagina}}) {{outro}}", trecho=F.col("text"), pagina=F.col("item_id")).alias("rendered"))
 
 
 # --- index and ranking
@@ -276,9 +287,9 @@ def rank_join_chunks(s, d):
     return r.join(i.stats.select("chunk_id", "page", "text"), "chunk_id").select("q_id", "rank", "chunk_id", "page", "text")
 
 
-@registered("empty_query", "SELECT doc_id AS q_id, 0.0::DOUBLE AS score FROM documents WHERE len(" + O.tokens("substr(text, 1, 12)") + ") = 0")
+@registered("empty_query", "SELECT doc_id AS q_id, 0.0::DOUBLE AS score FROM documents WHERE len(" + O.tokens("text") + ") = 0")
 def empty_query(s, d):
-    # whole documents as questions; ranking scores those without tokens (the SQL looks at their first 12 characters only)
+    # whole documents as questions; ranking scores those without tokens
     q = ranking.questions_of(_docs(s, d), "doc_id", "text").where(F.size("toks") == 0)
     return ranking.top_k(_index(s, d), q).where("rank = 1").select("q_id", "score")
 
@@ -458,92 +469,62 @@ def coverage(s, d):
 # --- evaluation
 
 
-#: Share of the questions and the most of them. SMALL is what the SQL twins can rank in time, set for cost;
-#: the queries named full take the shares that evaluation and calibration have by default, without a cap.
-SMALL, EVAL, CALIBRATION = (0.005, 200), (0.1, None), (0.5, None)
-
+#: Share that the sampling queries take; evaluation and calibration take every question.
+SHARE = 0.1
 
-def _sample(s, d, c=None, size=SMALL):
-    return evaluation.sample_by_hash(questions.generate(c if c is not None else _chunks(s, d, True).cache()), size[0], 42, size[1])
 
-
-def _evaluated(s, d, size=SMALL):
+def _evaluated(s, d):
     c = _chunks(s, d, True).cache()
     i = index.build_index(c).cached()
-    asked = _sample(s, d, c, size).cache()
+    asked = questions.generate(c).cache()
     q = ranking.questions_of(asked, "q_id", "prompt")
-    r = ranking.top_k(i, q)
-    return i, asked, q, r
+    return i, asked, q, ranking.top_k(i, q)
 
 
-def _outcomes(s, d, size=SMALL):
-    i, asked, q, r = _evaluated(s, d, size)
+def _outcomes(s, d):
+    i, asked, q, r = _evaluated(s, d)
     return evaluation.outcomes(ranking.decide(i, q, r), asked)
 
 
-def _points(s, d, size=SMALL):
-    i, _, _, r = _evaluated(s, d, size)
+def _points(s, d):
+    i, _, _, r = _evaluated(s, d)
     p = ranking.questions_of(evaluation.probes(s), "q_id", "question")
     best = lambda x, y: x.where("rank = 1").select("score", F.lit(y).alias("y"))
+    # many questions share a score: points are counted, not listed
     return best(r, 1).unionByName(best(ranking.top_k(i, p), 0))
 
 
 @registered("sample_hash", "SELECT q_id FROM sampled", "sampled")
-def sample_hash(s, d, size=SMALL):
-    return _sample(s, d, size=size).select("q_id")
-
-
-@registered("sample_hash_full")
-def sample_hash_full(s, d):
-    return sample_hash(s, d, EVAL)
+def sample_hash(s, d):
+    return evaluation.sample_by_hash(_questions(s, d), SHARE).select("q_id")
 
 
 @registered("sample_fy")
 def sample_fy(s, d):
     # counted, cut into ranges and numbered: the ids are made once
-    return evaluation.sample_by_shuffle(_questions(s, d).select("q_id").cache(), 0.1, 42)
+    return evaluation.sample_by_shuffle(_questions(s, d).select("q_id").cache(), SHARE, 42)
 
 
 @registered("eval_report", """SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 6) AS fidelity, round(avg(confidence), 6) AS mean_confidence, round(abs(avg(confidence) - avg(hit)), 6) AS gap,
   CAST(sum(CAST(refused AS INTEGER)) AS BIGINT) AS refused_in_scope FROM outcomes""", "outcomes")
-def eval_report(s, d, size=SMALL):
-    r = evaluation.report(_outcomes(s, d, size=size))
+def eval_report(s, d):
+    r = evaluation.report(_outcomes(s, d))
     return r.withColumns({c: F.round(c, 6) for c in ("fidelity", "mean_confidence", "gap")})
 
 
-@registered("eval_report_full")
-def eval_report_full(s, d):
-    return eval_report(s, d, EVAL)
-
-
 @registered("ece_bins", "SELECT bin, n, round(accuracy, 6) AS accuracy, round(mean_confidence, 6) AS mean_confidence FROM bins", "bins")
-def ece_bins(s, d, size=SMALL):
-    return evaluation.ece_bins(_outcomes(s, d, size=size)).withColumns({c: F.round(c, 6) for c in ("accuracy", "mean_confidence")})
-
-
-@registered("ece_bins_full")
-def ece_bins_full(s, d):
-    return ece_bins(s, d, EVAL)
+def ece_bins(s, d):
+    return evaluation.ece_bins(_outcomes(s, d)).withColumns({c: F.round(c, 6) for c in ("accuracy", "mean_confidence")})
 
 
 @registered("ece", "SELECT round(sum(n * abs(accuracy - mean_confidence)) / sum(n), 6) AS ece FROM bins", "bins")
-def ece(s, d, size=SMALL):
-    return evaluation.ece(evaluation.ece_bins(_outcomes(s, d, size=size))).select(F.round("ece", 6).alias("ece"))
-
-
-@registered("ece_full")
-def ece_full(s, d):
-    return ece(s, d, EVAL)
+def ece(s, d):
+    return evaluation.ece(evaluation.ece_bins(_outcomes(s, d))).select(F.round("ece", 6).alias("ece"))
 
 
 @registered("eval_by_type", "SELECT type, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits FROM outcomes GROUP BY type", "outcomes")
-def eval_by_type(s, d, size=SMALL):
-    return evaluation.by_type(_outcomes(s, d, size=size))
-
-
-@registered("eval_by_type_full")
-def eval_by_type_full(s, d):
-    return eval_by_type(s, d, EVAL)
+def eval_by_type(s, d):
+    return evaluation.by_type(_outcomes(s, d))
 
 
 @registered("probe_refusals", "SELECT count(*) AS n, CAST(sum(CAST(refused AS INTEGER)) AS BIGINT) AS refused FROM probe_decisions", "probe_decisions")
@@ -554,25 +535,15 @@ def probe_refusals(s, d):
 
 
 @registered("calib_points", "SELECT y, count(*) AS n, round(min(score), 6) AS least, round(max(score), 6) AS most FROM points GROUP BY y", "points")
-def calib_points(s, d, size=SMALL):
-    return _points(s, d, size=size).groupBy("y").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
-
-
-@registered("calib_points_full")
-def calib_points_full(s, d):
-    return calib_points(s, d, CALIBRATION)
+def calib_points(s, d):
+    return _points(s, d).groupBy("y").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
 
 
 @registered("confusion", """SELECT round(tpr, 6) AS tpr, round(tnr, 6) AS tnr, round((tpr + tnr) / 2, 6) AS balanced, round(abs(mc - acc), 6) AS gap FROM (
   SELECT coalesce(sum(yes * y) / nullif(sum(y), 0), 1) AS tpr, coalesce(sum((1 - yes) * (1 - y)) / nullif(sum(1 - y), 0), 1) AS tnr, avg(c) AS mc, avg(CASE WHEN yes = y THEN 1.0::DOUBLE ELSE 0 END) AS acc FROM (
     SELECT *, CAST(c >= 0.3::DOUBLE AS INTEGER) AS yes FROM (SELECT y, 1 / (1 + exp(-greatest(-20, least(20, (score - 0.12::DOUBLE) * 12)))) AS c FROM points)))""", "points")
-def confusion(s, d, size=SMALL):
-    return evaluation.confusion(_points(s, d, size=size)).select(*[F.round(c, 6).alias(c) for c in ("tpr", "tnr", "balanced", "gap")])
-
-
-@registered("confusion_full")
-def confusion_full(s, d):
-    return confusion(s, d, CALIBRATION)
+def confusion(s, d):
+    return evaluation.confusion(_points(s, d)).select(*[F.round(c, 6).alias(c) for c in ("tpr", "tnr", "balanced", "gap")])
 
 
 @registered("calib_grid", "SELECT * FROM grid", "grid")
@@ -580,30 +551,23 @@ def calib_grid(s, d):
     return evaluation.grid(s)
 
 
-@registered("calibrate", """SELECT round(center, 6) AS center, round(slope, 6) AS slope, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(tnr, 6) AS tnr, round((tpr + tnr) / 2, 6) AS balanced, round(gap, 6) AS gap FROM (
+@registered("calibrate")
+def calibrate(s, d):
+    return evaluation.calibrate(_points(s, d))
+
+
+SLOW_SQL["calibrate"] = O.query("""SELECT round(center, 6) AS center, round(slope, 6) AS slope, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(tnr, 6) AS tnr, round((tpr + tnr) / 2, 6) AS balanced, round(gap, 6) AS gap FROM (
   SELECT *, abs(mc - acc) AS gap FROM (
     SELECT ci, si, li, center, slope, threshold, sum(yes * y) / sum(y) AS tpr, sum((1 - yes) * (1 - y)) / sum(1 - y) AS tnr, avg(c) AS mc, avg(CASE WHEN yes = y THEN 1.0::DOUBLE ELSE 0 END) AS acc FROM (
       SELECT *, CAST(c >= threshold AS INTEGER) AS yes FROM (SELECT *, 1 / (1 + exp(-greatest(-20, least(20, (score - center) * slope)))) AS c FROM points, grid)) GROUP BY ALL))
   ORDER BY round((tpr + tnr) / 2, 9) DESC, round(gap, 9), ci, si, li LIMIT 1""", "points", "grid")
-def calibrate(s, d, size=SMALL):
-    return evaluation.calibrate(_points(s, d, size=size))
-
-
-@registered("calibrate_full")
-def calibrate_full(s, d):
-    return calibrate(s, d, CALIBRATION)
 
 
 @registered("threshold_sweep", """SELECT threshold, CAST(count(*) FILTER (WHERE confidence >= threshold) AS BIGINT) AS responded, CAST(count(*) FILTER (WHERE page = expected) AS BIGINT) AS rank_ok,
   CAST(count(*) FILTER (WHERE confidence >= threshold AND page = expected) AS BIGINT) AS both_ok, CAST(count(*) FILTER (WHERE confidence < threshold AND page = expected) AS BIGINT) AS refused_rank_ok
   FROM outcomes, (SELECT unnest([0.30, 0.50, 0.70, 0.85, 0.89]::DOUBLE[]) AS threshold) GROUP BY threshold""", "outcomes")
-def threshold_sweep(s, d, size=SMALL):
-    return evaluation.threshold_sweep(_outcomes(s, d, size=size))
-
-
-@registered("threshold_sweep_full")
-def threshold_sweep_full(s, d):
-    return threshold_sweep(s, d, EVAL)
+def threshold_sweep(s, d):
+    return evaluation.threshold_sweep(_outcomes(s, d))
 
 
 # --- service
@@ -635,7 +599,9 @@ def sse_slices(s, d):
     return service.slices(_decisions(s, d))
 
 
-@registered("jsonrpc_dispatch")
+@registered("jsonrpc_dispatch", """SELECT event_id AS line_id, CASE WHEN event_id % 11 = 0 THEN 'invalid' WHEN event_id % 3 = 0 THEN 'notification' ELSE m END AS kind, CASE WHEN event_id % 11 > 0 THEN t END AS tool,
+  CAST(CASE WHEN event_id % 11 = 0 THEN -32700 WHEN event_id % 3 = 0 THEN NULL WHEN m = 'other' THEN -32601 WHEN m = 'tools/call' AND t = 'none' THEN -32602 END AS INTEGER) AS code
+  FROM (SELECT event_id, ['initialize', 'ping', 'tools/list', 'tools/call', 'other'][event_id % 5 + 1] AS m, ['ask', 'none'][event_id % 2 + 1] AS t FROM events)""")
 def jsonrpc_dispatch(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
     method = F.element_at(F.array(*[F.lit(m) for m in ("initialize", "ping", "tools/list", "tools/call", "other")]), (F.col("event_id") % 5 + 1).cast("int"))
@@ -644,7 +610,7 @@ def jsonrpc_dispatch(s, d):
     return service.rpc_batch(e.select(F.col("event_id").alias("line_id"), line.alias("line")))
 
 
-@registered("stream_ask")
+@registered("stream_ask", "SELECT * FROM decisions", "decisions")
 def stream_ask(s, d):
     from textloom.streaming.ask import answer_stream
 

@@ -139,6 +139,12 @@ part("chunks", f"""
     FROM (SELECT doc_id, word, page, row_number() OVER (PARTITION BY doc_id ORDER BY block_no, pos) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM words))
   GROUP BY doc_id, c""", "words")
 part("hashed", f"SELECT *, lpad(lower(to_hex({fnv('text')})), 8, '0') AS hash FROM chunks", "chunks")
+# the checksum's table: eight steps for each byte value
+_STEP = "CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+_TABLE = "SELECT i, i AS x FROM range(256) r(i)"
+for _ in range(8):
+    _TABLE = f"SELECT i, {_STEP} AS x FROM ({_TABLE})"
+part("crc_table", f"SELECT list(x ORDER BY i) AS t FROM ({_TABLE})")
 part("toks", f"SELECT *, {tokens('text')} AS toks FROM chunks", "chunks")
 part("stats", """
   SELECT chunk_id, CAST(len(toks) AS INTEGER) AS doc_len, page_start AS page, text, array_to_string(toks, ' ') AS tok_str,
@@ -233,10 +239,10 @@ part("questions", """
   SELECT chunk_id * 256 + 128, 'score', prompt, NULL, min, max, NULL, page, hash, chunk_id FROM score_q""", "noul", "choice", "score_q")
 part("sampled", """
   SELECT * EXCLUDE (h) FROM (SELECT *, md5('42/' || q_id) AS h FROM questions) ORDER BY h
-  LIMIT (SELECT CAST(least(count(*), greatest(1, floor(count(*) * 0.005::DOUBLE + 0.5)), 200) AS BIGINT) FROM questions)""", "questions")
-ranking("eval_", "SELECT q_id, prompt AS question FROM sampled", "sampled")
+  LIMIT (SELECT CAST(least(count(*), greatest(1, floor(count(*) * 0.1::DOUBLE + 0.5))) AS BIGINT) FROM questions)""", "questions")
+ranking("eval_", "SELECT q_id, prompt AS question FROM questions", "questions")
 part("outcomes", """
-  SELECT d.*, type, s.page AS expected, CAST(NOT refused AND d.page = s.page AS INTEGER) AS hit FROM eval_decisions d JOIN sampled s USING (q_id)""", "eval_decisions", "sampled")
+  SELECT d.*, type, s.page AS expected, CAST(NOT refused AND d.page = s.page AS INTEGER) AS hit FROM eval_decisions d JOIN questions s USING (q_id)""", "eval_decisions", "questions")
 part("bins", """
   SELECT CAST(greatest(0, least(4, floor(confidence * 5))) AS INTEGER) AS bin, count(*) AS n, avg(hit) AS accuracy, avg(confidence) AS mean_confidence FROM outcomes GROUP BY bin""", "outcomes")
 part("points", """

@@ -56,20 +56,29 @@ def full_text(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda b: b["text"]), "\n\n").alias("text"))
 
 
+def numbered_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, doc_id): the files under a path, numbered from 0 in order of their paths; one row a file, no content."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.withColumn("doc_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+
+
 def read_blocks(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Blocks of the files under a path; each file is a document, its reader chosen by ending or first bytes."""
+    """Blocks (doc_id, block_no, text, page, path) of the files under a path.
+
+    Each file is a document with the number of ``numbered_files``; its reader is chosen by ending or first bytes, and
+    a .pdf that doesn't begin like one is read as text.
+    """
     from textloom.sources.pdf import pdf_blocks
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
-    low = F.lower("doc_id")
-    kind = F.lit(fmt) if fmt else (
-        F.when(low.endswith(".pdf"), "pdf").when(low.endswith(".csv"), "csv").when(low.endswith(".json"), "json")
-        .when(F.substring(F.col("content"), 1, 4) == F.lit(b"%PDF"), "pdf").otherwise("txt")
-    )
+    names = numbered_files(spark, path)
+    files = spark.read.format("binaryFile").load(path).select("path", "content").join(names, "path")
+    low, is_pdf = F.lower("path"), F.substring(F.col("content"), 1, 4) == F.lit(b"%PDF")
+    kind = F.lit(fmt) if fmt else F.when(is_pdf, "pdf").when(low.endswith(".csv"), "csv").when(low.endswith(".json"), "json").otherwise("txt")
     files = files.withColumn("kind", kind).withColumn("text", F.decode("content", "UTF-8"))
     of = lambda k: files.where(F.col("kind") == k)
     out = txt_blocks(of("txt")).unionByName(csv_blocks(of("csv"))).unionByName(json_blocks(of("json")))
-    return out.unionByName(pdf_blocks(of("pdf")).select("doc_id", "block_no", "text", "page"))
+    out = out.unionByName(pdf_blocks(of("pdf")).select(F.col("doc_id").cast("long").alias("doc_id"), "block_no", "text", "page"))
+    return out.join(names, "doc_id").select("doc_id", "block_no", "text", "page", "path")
 
 
 def gold_questions(files: DataFrame, text: str = "text") -> DataFrame:

@@ -102,19 +102,18 @@ def _decoded(raw: bytes) -> str:
 
 
 def content_text(data: bytes, tj_space: float = TJ_SPACE, tj_jump: float = TJ_JUMP) -> str:
-    """What the text operators of a content stream show, a line for each move."""
+    """What the text operators of a content stream show: a space after each Tj and TJ, a new line after ' and " and each move."""
     out: list[str] = []
     pending: list[str | float] = []
     at = 0
 
-    def show(line_first: bool = False) -> None:
-        if line_first and out and not out[-1].endswith("\n"):
-            out.append("\n")
+    def show(end: str) -> None:
         for x in pending:
             if isinstance(x, str):
                 out.append(x)
             elif x < tj_space or x > tj_jump:
                 out.append(" ")
+        out.append(end)
         pending.clear()
 
     while at < len(data):
@@ -130,10 +129,11 @@ def content_text(data: bytes, tj_space: float = TJ_SPACE, tj_jump: float = TJ_JU
         elif m[3] is not None:
             op = m[3]
             if op == b"TJ":
-                show()
+                show(" ")
             elif op in (b"Tj", b"'", b'"'):
-                pending[:] = [x for x in pending if isinstance(x, str)]
-                show(op != b"Tj")
+                # these show one string, the last
+                pending[:] = [x for x in pending if isinstance(x, str)][-1:]
+                show(" " if op == b"Tj" else "\n")
             else:
                 pending.clear()
                 if op in (b"ET", b"T*", b"Td", b"TD", b"Tm", b"T") and out and not out[-1].endswith("\n"):
