@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -72,19 +74,24 @@ def hybrid_scores(index: Index, questions: DataFrame) -> DataFrame:
 class _Block:
     """A bounded number of questions as arrays: what a batch of chunks is ranked against."""
 
-    def __init__(self, asked: list[tuple[int, list[str]]], idf: dict[str, float], avgdl: float, k: int) -> None:
-        self.ids = np.array([q for q, _ in asked], np.int64)
-        self.avgdl, self.k = avgdl, k
-        self.vectors = vectors_of([t for _, t in asked])
-        self.phrases = [f" {' '.join(t)} " for _, t in asked]
-        self.n_terms = np.array([len(set(t)) for _, t in asked], np.int64)
-        self.code = {t: c for c, t in enumerate(idf)}
+    def __init__(self, asked: list[tuple[int, list[str], dict[str, float]]], avgdl: float, k: int) -> None:
+        self.ids = np.array([q for q, _, _ in asked], np.int64)
+        self.tokens, self.avgdl, self.k = [t for _, t, _ in asked], avgdl, k
+        self.phrases = [f" {' '.join(t)} " for t in self.tokens]
+        self.n_terms = np.array([len(set(t)) for t in self.tokens], np.int64)
+        self.code = {t: c for c, t in enumerate(sorted({t for _, _, idf in asked for t in idf}))}
         # for each term the questions that have it and what it weighs there
-        rows = [(self.code[t], q, n * idf[t]) for q, (_, toks) in enumerate(asked) for t, n in Counter(toks).items() if t in idf]
-        rows.sort()
+        rows = sorted((self.code[t], q, n * idf[t]) for q, (_, toks, idf) in enumerate(asked) for t, n in Counter(toks).items() if t in idf)
         self.asks = np.array([r[1] for r in rows], np.int64)
         self.weight = np.array([r[2] for r in rows], float)
-        self.first = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(len(idf) + 1))
+        self.first = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(len(self.code) + 1))
+
+    def best_of(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        self.vectors = vectors_of(self.tokens)  # made where it is used: only words are broadcast
+        for batch in batches:
+            for at in range(0, len(batch), SCANNED):
+                yield self.best(batch.iloc[at : at + SCANNED])
+        del self.vectors
 
     def scores(self, chunks: pd.DataFrame) -> np.ndarray:
         """Fused scores of a batch's chunks (rows) for all questions (columns)."""
@@ -138,24 +145,15 @@ def top_k(index: Index, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     """
     k = k if k > 0 else TOP_K
     spark = questions.sparkSession
-    asked = questions.select("q_id", "toks").cache()
-    blocks = -(-asked.count() // ASKED)
     avgdl = index.corpus.first()["avgdl"]
-    out = None
-    for b in range(max(blocks, 1)):
-        own = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(max(blocks, 1))) == b)
-        rows = [(r["q_id"], r["toks"] or []) for r in own.collect()]
-        idf = {r["term"]: r["idf"] for r in index.terms.join(F.broadcast(own.select(F.explode("toks").alias("term")).distinct()), "term").select("term", "idf").collect()}
-        block = spark.sparkContext.broadcast(_Block(rows, idf, avgdl, k))
-
-        def scan(batches, block=block):
-            for batch in batches:
-                for at in range(0, len(batch), SCANNED):
-                    if len(block.value.ids):
-                        yield block.value.best(batch.iloc[at : at + SCANNED])
-
-        found = index.stats.select("chunk_id", "doc_len", "valid", "tok_str", "v").mapInPandas(scan, "q_id long, chunk_id long, score double")
-        out = found if out is None else out.unionByName(found)
+    terms = questions.select("q_id", F.explode(F.array_distinct("toks")).alias("term")).join(index.terms, "term")
+    idf = terms.groupBy("q_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
+    asked = questions.select("q_id", "toks").join(idf, "q_id", "left").toLocalIterator()  # a block at a time on the driver
+    chunks = index.stats.select("chunk_id", "doc_len", "valid", "tok_str", "v")
+    out = spark.createDataFrame([], "q_id long, chunk_id long, score double")
+    while rows := [(r["q_id"], r["toks"] or [], r["idf"] or {}) for r in islice(asked, ASKED)]:
+        block = spark.sparkContext.broadcast(_Block(rows, avgdl, k))
+        out = out.unionByName(chunks.mapInPandas(lambda batches, block=block: block.value.best_of(batches), out.schema))
     order = Window.partitionBy("q_id").orderBy(F.desc(F.round("score", 6)), "chunk_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
