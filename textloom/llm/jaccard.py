@@ -40,6 +40,8 @@ NEED = 80
 WORDS = 5
 #: Counters of the sketch that says how frequent a token is: a fixed size, broadcast.
 ORDER_WIDTH = 1 << 20
+#: Tokens in more sets than this (or than a 65,536th of all tokens) are shuffled summed, never as rows by token.
+OFTEN = 1024
 #: Rows of a block when a bucket's rest is compared; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
 #: Buckets of at most so many nodes are joined with themselves.
@@ -276,7 +278,7 @@ def buckets(firsts: DataFrame, any_hot: bool = True) -> DataFrame:
     if any_hot:
         hot = firsts.where("cool < size(tokens)").select("node", "n", "cool", F.posexplode(F.expr("slice(tokens, cool + 1, size(tokens))")).alias("k", "token"))
         hot = saved(hot.select("node", "n", (F.col("k") + F.col("cool")).alias("pos"), "token"), "hot")
-        limit = max(1024, hot.count() >> 16)
+        limit = max(OFTEN, hot.count() >> 16)
         heads = saved(hot.groupBy("token").agg(F.count("*").alias("c"), F.expr(HEAD).alias("t")).where("c > 1"), "heads")
         big = F.broadcast(heads.where(F.col("c") > limit).select("token", F.lit(True).alias("big")))
         out = out.unionByName(on_token(hot.join(big, "token", "left"), heads, limit, "big").select(columns))
@@ -304,7 +306,7 @@ def rests(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of nodes of different components that meet in a bucket with room for the overlap they need."""
     named = saved(rows.select("token", "node", "n", "pos", "c").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     mixed = saved(named.groupBy("token").agg(F.max("c").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "c"), "mixed")
-    limit = max(1024, named.count() >> 16)
+    limit = max(OFTEN, named.count() >> 16)
     put = on_token(named.withColumn("big", F.col("c") > limit).drop("c"), mixed, limit, "big")
     small = put.where(f"c <= {SMALL}").select("token", "node", "n", "pos", "label")
     other = small.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("theirs"))
@@ -431,7 +433,7 @@ def classed(nodes: Nodes) -> DataFrame:
     sizes = counts.where("part < 0").select("node", "n")
     seen = merged(counts.where("part >= 0").select("part", "block", "data"), ORDER_WIDTH, np.add)
     # a token that more than this many counted tokens share a counter with may be in very many sets
-    often = max(1024, int(seen.sum()) >> 16)
+    often = max(OFTEN, int(seen.sum()) >> 16)
     sketch = nodes.docs.sparkSession.sparkContext.broadcast(np.minimum(seen, np.iinfo(np.uint32).max).astype(np.uint32))
     firsts_ = saved(prefixes(nodes.texts(), sketch, often), "prefixes")
     rows = buckets(firsts_, bool((seen >= often).any()))
