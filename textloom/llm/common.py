@@ -99,10 +99,16 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner",
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts reach Python in batches of at most ``rows``: what a worker holds doesn't grow with a partition."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Texts reach Python in batches of at most ``rows`` and about ``size`` bytes: what a worker holds grows neither with a partition nor with long texts.
+
+    Sets the session's limits where they are higher; plans are run later, so they stay.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
 
 
 def bucket_count(rows: int, per: int = BUCKET_ROWS) -> int:

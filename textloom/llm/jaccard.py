@@ -23,7 +23,7 @@ get others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -175,7 +175,7 @@ def text_hash(text: Column, seed: int) -> Column:
 class Nodes:
     """The texts of a table as nodes.
 
-    found: doc_id, node, worded (has words) of every row; texts(): node, text, once for each node.
+    found: doc_id, node, worded (has words) of every row; mapped(): a function over node and text, once for each node.
     """
 
     def __init__(self, docs: DataFrame, key: str, text: str) -> None:
@@ -207,15 +207,33 @@ class Nodes:
             h = F.when(h.isin(clash), text_hash(self.text, k + 1)).otherwise(h)
         return h
 
-    def texts(self, wanted: Broadcast | None = None) -> DataFrame:
-        """node and text; wanted: a filter of nodes. A filter's error may repeat a node: that costs work only."""
+    def mapped(self, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, wanted: Broadcast | None = None) -> DataFrame:
+        """``run`` over batches of node and text, each node once; wanted: a filter of nodes.
+
+        Filters are asked by the worker that runs ``run``, so a task needs one Python worker, not two. A filter's
+        error may repeat a node: that costs work only.
+        """
+        doubt = self.doubt
+
+        def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                node = b["node"].to_numpy(np.int64)
+                stays = np.ones(len(b), bool) if wanted is None else wanted.value.has(node)
+                if doubt is not None:
+                    stays &= ~doubt.value.has(node)
+                if stays.any():
+                    yield b[stays]
+
         rows = self.docs.where(self.worded).select(self.key.alias("doc_id"), self.node.alias("node"), self.text.alias("text"))
-        if wanted is not None:
-            rows = rows.where(among(wanted, F.col("node")))
-        if self.doubt is None:
-            return rows.select("node", "text")
-        doubt = among(self.doubt, F.col("node"))
-        return rows.where(~doubt).select("node", "text").unionByName(first_rows(rows.where(doubt), self.first).select("node", "text"))
+        out = rows.select("node", "text").mapInPandas(lambda batches: run(sure(batches)), schema)
+        if doubt is None:
+            return out
+        rows = rows.where(among(doubt, F.col("node")) if wanted is None else among(doubt, F.col("node")) & among(wanted, F.col("node")))
+        return out.unionByName(first_rows(rows, self.first).select("node", "text").mapInPandas(run, schema))
+
+    def texts(self) -> DataFrame:
+        """node and text."""
+        return self.mapped(lambda batches: batches, "node long, text string")
 
 
 def first_rows(rows: DataFrame, first: DataFrame) -> DataFrame:
@@ -224,7 +242,7 @@ def first_rows(rows: DataFrame, first: DataFrame) -> DataFrame:
     return rows.join(mine, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["node", "doc_id"])
 
 
-def counted(texts: DataFrame) -> DataFrame:
+def counted(nodes: Nodes) -> DataFrame:
     """node, n of every text, and the frequency sketch as blocks (rows without a node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,10 +257,10 @@ def counted(texts: DataFrame) -> DataFrame:
         if any_:
             yield given_away(seen).assign(node=np.int64(0), n=np.int64(0))[["node", "n", "part", "block", "data"]]
 
-    return texts.mapInPandas(run, "node long, n long, part int, block int, data binary")
+    return nodes.mapped(run, "node long, n long, part int, block int, data binary")
 
 
-def prefixes(texts: DataFrame, sketch: Broadcast, often: int) -> DataFrame:
+def prefixes(nodes: Nodes, sketch: Broadcast, often: int) -> DataFrame:
     """node, n, tokens (the prefix under the first order) and cool: how many of them the sketch has fewer than ``often`` times."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +275,7 @@ def prefixes(texts: DataFrame, sketch: Broadcast, often: int) -> DataFrame:
                 tokens.append(s[order])
             yield pd.DataFrame({"node": b["node"].to_numpy(np.int64), "n": np.array(ns, np.int64), "cool": np.array(cool, np.int32), "tokens": tokens})
 
-    return texts.mapInPandas(run, "node long, n long, cool int, tokens array<long>")
+    return nodes.mapped(run, "node long, n long, cool int, tokens array<long>")
 
 
 #: What makes a node central in a bucket: its token comes early.
@@ -405,7 +423,7 @@ def verified(pairs: DataFrame, nodes: Nodes) -> DataFrame:
             side = lambda x, p=p: zip(p[f"n_{x}"].tolist(), p[f"up_{x}"], p[f"down_{x}"], p[f"bits_{x}"], strict=True)
             yield p.loc[np.fromiter((may_link(x, y, room) for x, y in zip(side("a"), side("b"), strict=True)), bool, len(p)), ["a", "b"]]
 
-    small = saved(nodes.texts(members(_ends(pairs), 2 * n)).mapInPandas(digests, "node long, n long, up binary, down binary, bits binary"), "digests")
+    small = saved(nodes.mapped(digests, "node long, n long, up binary, down binary, bits binary", members(_ends(pairs), 2 * n)), "digests")
     passed = saved(_fetched(pairs, small, n).mapInPandas(passing, "a long, b long"), "passed")
     dropped(pairs, small)
     n = passed.count()
@@ -416,7 +434,7 @@ def verified(pairs: DataFrame, nodes: Nodes) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"node": b["node"].to_numpy(np.int64), "tokens": sets_of(b["text"].tolist())})
 
-    full = saved(nodes.texts(members(_ends(passed), 2 * n)).mapInPandas(whole, "node long, tokens array<long>"), "full")
+    full = saved(nodes.mapped(whole, "node long, tokens array<long>", members(_ends(passed), 2 * n)), "full")
     common, sizes = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
     links = saved(_fetched(passed, full, n).where(100 * common >= NEED * (sizes - common)).select("a", "b").distinct(), "links")
     dropped(full, passed)
@@ -429,13 +447,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def classed(nodes: Nodes) -> DataFrame:
-    counts = saved(counted(nodes.texts()), "counted")
+    counts = saved(counted(nodes), "counted")
     sizes = counts.where("part < 0").select("node", "n")
     seen = merged(counts.where("part >= 0").select("part", "block", "data"), ORDER_WIDTH, np.add)
     # a token that more than this many counted tokens share a counter with may be in very many sets
     often = max(OFTEN, int(seen.sum()) >> 16)
     sketch = nodes.docs.sparkSession.sparkContext.broadcast(np.minimum(seen, np.iinfo(np.uint32).max).astype(np.uint32))
-    firsts_ = saved(prefixes(nodes.texts(), sketch, often), "prefixes")
+    firsts_ = saved(prefixes(nodes, sketch, often), "prefixes")
     rows = buckets(firsts_, bool((seen >= often).any()))
     dropped(firsts_)
     near = verified(stars(rows), nodes)
