@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,11 +75,14 @@ def handle_rpc(line: str, engine: dict[str, Callable[[dict], object]]) -> str |
     try:
         request = json.loads(line)
     except ValueError:
+        request = None
+    if not isinstance(request, dict):
         return json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": PARSE_ERROR, "message": "parse error"}})
     if "id" not in request:
         return None
     reply: dict[str, object] = {"jsonrpc": "2.0", "id": request["id"]}
-    method, params = request.get("method"), request.get("params") or {}
+    method, params = request.get("method"), request.get("params")
+    params = params if isinstance(params, dict) else {}
     if method == "initialize":
         reply["result"] = {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"version": VERSION}}
     elif method == "ping":
@@ -90,12 +94,53 @@ def handle_rpc(line: str, engine: dict[str, Callable[[dict], object]]) -> str |
         if tool is None:
             reply["error"] = {"code": BAD_PARAMS, "message": "unknown tool"}
         else:
-            reply["result"] = {"content": [{"type": "text", "text": json.dumps(tool(params.get("arguments") or {}))}]}
+            try:
+                reply["result"] = {"content": [{"type": "text", "text": json.dumps(tool(params.get("arguments") or {}))}]}
+            except (KeyError, ValueError) as e:  # a package or an argument that isn't there
+                reply["result"] = {"content": [{"type": "text", "text": str(e)}], "isError": True}
     else:
         reply["error"] = {"code": NO_METHOD, "message": "unknown method"}
     return json.dumps(reply)
 
 
+def messages(stream: BinaryIO, most: int = 64 << 20) -> Iterator[str]:
+    """The messages of a stream: a line each, or headers with Content-Length, a blank line and that many bytes."""
+    while line := stream.readline():
+        name, _, size = line.partition(b":")
+        if name.strip().lower() != b"content-length":
+            if line.strip():
+                yield line.decode("utf-8", "replace").strip()
+            continue
+        while (header := stream.readline()) and header.strip():
+            pass
+        if size.strip().isdigit() and 0 < int(size) < most:
+            yield stream.read(int(size)).decode("utf-8", "replace")
+
+
+def serve_rpc(stream: BinaryIO, out: BinaryIO, engine: dict[str, Callable[[dict], object]]) -> None:
+    """Answers every message of a stream until it ends, a line an answer."""
+    for message in messages(stream):
+        if (reply := handle_rpc(message, engine)) is not None:
+            out.write(reply.encode() + b"\n")
+            out.flush()
+
+
+def _contents(body: object) -> Iterator[object]:
+    for key, value in body.items() if isinstance(body, dict) else enumerate(body if isinstance(body, list) else ()):
+        if key == "content" and isinstance(value, str):
+            yield value
+        yield from _contents(value)
+
+
+def prompt_of(body: dict) -> str:
+    """What a request asks: its last ``content``, whoever says it; without any, its pergunta, input or prompt."""
+    last = ""
+    for last in _contents(body):
+        pass
+    others = (body.get(k) for k in ("pergunta", "input", "prompt"))
+    return last or next((o for o in others if isinstance(o, str) and o), "")
+
+
 def rpc_batch(lines: DataFrame) -> DataFrame:
     """(line_id, kind, tool, code): what each line of a batch asks for, without running it."""
     shape = "struct<id:string,method:string,params:struct<name:string>>"
