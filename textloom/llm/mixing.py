@@ -157,15 +157,16 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     """The mix as rows of ``docs`` in the order of the schedule: each document as often as it is played, where its
     playing begins, the last time perhaps in part (its first words)."""
     rows = taken(sized(docs, text, key, source))
-    # rows equal in id, text and source are numbered on both sides; which is which doesn't matter
-    same = lambda *c: Window.partitionBy(*c[:3]).orderBy(F.lit(0))
-    played = rows.where("taken > 0").select("key", "fp", "source", "size", "taken", "starts").withColumn("n", F.row_number().over(same("key", "fp", "source")))
-    played = played.select(F.struct("key", "fp", "source", "n").alias("_at"), F.struct("size", "taken", "starts").alias("_t"))
-    # the row travels as one value, so no column of it can clash
-    put = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_fp"))
-    put = put.withColumn("_n", F.row_number().over(same("_id", "_fp", "_source")))
-    at = F.col("_id").eqNullSafe(F.col("_at.key")) & (F.col("_fp") == F.col("_at.fp")) & F.col("_source").eqNullSafe(F.col("_at.source")) & (F.col("_n") == F.col("_at.n"))
-    put = put.join(played, at).withColumn("_turn", F.explode(F.expr("sequence(0L, (_t.taken - 1) div _t.size)")))
+    # the row travels as one value, so no column of it can clash, and its text once
+    put = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("fp"), F.col(source).alias("source")).alias("_k"), F.struct(*docs.columns).alias("_row"))
+    played = rows.where("taken > 0").select(F.struct("key", "fp", "source").alias("_k"), F.struct("size", "taken", "starts").alias("_t"))
+    # rows equal in id, text and source are numbered among documents and among playings, and equal numbers meet; which is
+    # which doesn't matter. Both lie together by _k from one shuffle, where a join by _k and number would deal texts again
+    both = put.unionByName(played, allowMissingColumns=True).repartition("_k").withColumn("_text_side", F.col("_row").isNotNull())
+    both = both.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_text_side").orderBy(F.lit(0))))
+    both = both.withColumn("_t", F.max("_t").over(Window.partitionBy("_k", "_n"))).where(F.col("_text_side") & F.col("_t").isNotNull())
+    put = both.withColumn("_turn", F.explode(F.expr("sequence(0L, (_t.taken - 1) div _t.size)")))
+    put = put.withColumn("_text", F.col("_row").getField(text))
     left = F.col("_t.taken") - F.col("_turn") * F.col("_t.size")
     part = left < F.col("_t.size")
     put = put.withColumn("_text", F.when(part, F.array_join(F.slice(words(F.col("_text")), F.lit(1), left.cast("int")), " ")).otherwise(F.col("_text")))
@@ -173,8 +174,8 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     if "n_chars" in docs.columns:
         n = F.when(part, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
         row = row.withField("n_chars", n)
-    put = put.select(row.alias("_row"), F.get("_t.starts", F.col("_turn").cast("int")).alias("_slot"), "_id", "_fp")
-    return put.orderBy("_slot", "_id", "_fp").select("_row.*")
+    put = put.select(row.alias("_row"), F.get("_t.starts", F.col("_turn").cast("int")).alias("_slot"), "_k.key", "_k.fp")
+    return put.orderBy("_slot", "key", "fp").select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
