@@ -65,6 +65,19 @@ def test_mixed_documents(spark, sf_dir):
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
+def test_mixed_keeps_repeated_rows_and_nulls(spark):
+    rows = [(1, "a b c", None, "x")] * 3 + [(1, "a b c", None, "y")] * 2 + [(None, "d e", "s", "z")] * 2 + [(2, None, "s", "z"), (3, " ", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    want = {r.key: r.w for r in mixing.taken(mixing.sized(docs)).groupBy("key").agg(F.sum("taken").alias("w")).where("w > 0").collect()}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        assert (r.doc_id, r.source, r.note) in {(k, s, n) for k, _, s, n in rows}
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert got == want and set(got) == {1, None}
+
+
 def brute_components(docs, need=80):
     sets = {i: set(jaccard.shingles(t).tolist()) for i, t in docs}
     parent = {i: i for i in sets}
