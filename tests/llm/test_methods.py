@@ -360,3 +360,14 @@ def test_ablations(spark, sf_dir):
 
 def test_sql_names():
     assert set(registry.SQL) <= set(registry.QUERIES) and sum(k.startswith("op") for k in registry.QUERIES) >= 10
+
+
+def test_quality_model_is_not_fitted_on_the_driver(spark, sf_dir, monkeypatch):
+    def fit(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(quality_model, "co_train", fit)  # workers have their own module
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    assert quality_model.train(read("documents"), read("labels")) is not None
+    assert quality_model.train(read("documents"), read("labels").limit(0)) is None
+    assert quality_model.train(read("documents").limit(0), read("labels")) is None

@@ -4,7 +4,7 @@ other their surest unlabelled rows over some rounds; calibrated, both are combin
 The text view reads words, their shapes (letters by case, digits, other marks as they are) and how they repeat. The metadata
 view never looks at words: it has source, language, length, and the layout of lines. Both are logistic models
 fitted on bounded samples (``MAX_TRAIN`` labelled and ``MAX_POOL`` unlabelled rows, of any length: their views are
-made where they lie, and only those come to the driver); every document is scored whole. A fifth of the labelled rows
+made where they lie, and only those go to the one task that fits); every document is scored whole. A fifth of the labelled rows
 teaches neither view: it calibrates them and says how much each counts in the combined score.
 
 Edge cases: null and empty texts are scored from what they have (no words, length 0); a very long text has shares of
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import operator
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -199,8 +200,8 @@ def co_train(one: View, two: View, y: np.ndarray, rounds: int = ROUNDS, sure: in
     return Model(models[0], models[1], combined(z[:, :1], yes), combined(z[:, 1:], yes), combined(z, yes))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[View, View, np.ndarray]:
-    """Both views of labelled and unlabelled rows with the smallest hashes of their ids, at most MAX_TRAIN and MAX_POOL."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(doc_id, a1, v1, a2, v2, y): both views of labelled and unlabelled rows with the smallest hashes of their ids, at most MAX_TRAIN and MAX_POOL."""
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     bad = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN // 2)
     good = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN // 2)
@@ -225,10 +226,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
     bounded_batches(docs.sparkSession)
     rows = got.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source", "lang", "y")
     rows = rows.mapInPandas(views, "doc_id string, a1 array<long>, v1 array<double>, a2 array<long>, v2 array<double>, y long")
+    return rows
+
+
+def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row: the pickled model of all training rows, or none without labels of both kinds."""
     # a row has at most DIM slots, however long its text
-    rows = sorted(rows.collect(), key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
-    arrays = lambda a, v: [(np.array(r[a], np.int64), np.array(r[v], float)) for r in rows]
-    return arrays("a1", "v1"), arrays("a2", "v2"), np.array([r["y"] for r in rows], np.int64)
+    rows = sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (hash_of(r.doc_id), r.doc_id))
+    one = [(np.asarray(r.a1, np.int64), np.asarray(r.v1, float)) for r in rows]
+    two = [(np.asarray(r.a2, np.int64), np.asarray(r.v2, float)) for r in rows]
+    model = co_train(one, two, np.array([r.y for r in rows], np.int64))
+    yield pd.DataFrame({"model": [None if model is None else pickle.dumps(model)]})
 
 
 def hash_of(name: str) -> int:
@@ -244,7 +252,9 @@ def _with_columns(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return co_train(*training_rows(_with_columns(docs), labels))
+    """Fitted in one task, as the bounded rows are many times the model: the driver gets nothing but the model."""
+    got = training_rows(_with_columns(docs), labels).repartition(1).mapInPandas(fitted, "model binary").first()
+    return pickle.loads(bytes(got["model"])) if got and got["model"] is not None else None
 
 
 VIEWS = "text_score double, meta_score double, score double"
