@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm import jaccard, mixing, packing, quality_model, quality_rules
 from textloom.llm.common import saved
+from textloom.workers import reachable
 
 
+@reachable
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the production policy.
 
@@ -26,6 +28,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.ledger(rows).where(quality_rules.kept()).select("_row.*")
 
 
+@reachable
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps; it learns from the labelled rows of the raw table.
 
@@ -36,6 +39,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return quality_model.filtered(docs, quality_model.train(raw, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@reachable
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: that of the smallest id, ids before null.
 
@@ -44,6 +48,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return jaccard.firsts(docs)
 
 
+@reachable
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight plays them, in the order of the schedule.
 
@@ -52,6 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixed(docs)
 
 
+@reachable
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences with their place.
 

@@ -1,5 +1,8 @@
 """The pipeline's stages against brute-force versions of their decisions."""
 
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -68,3 +71,20 @@ def test_extra_columns_stay(spark, folder):
         out = stage(spark, docs, folder)
         assert out.schema.names == docs.schema.names
         assert out.where((F.col("bucket") != "x") | (F.col("n_words") != "y") | (F.col("size") != "z")).count() == 0, name
+
+
+def test_stages_from_anywhere(folder, tmp_path):
+    """A stage that is called by itself, by a driver started elsewhere, gives its workers the package."""
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    code = f"""if True:
+        import sys
+        sys.path.insert(0, {root!r})
+        from pyspark.sql import SparkSession
+        import corpus_pipeline
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+        docs = spark.read.parquet({folder!r} + "/documents.parquet")
+        print("rows", dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, {folder!r}).count())
+    """
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows" in ran.stdout, ran.stderr[-2000:]
