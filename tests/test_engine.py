@@ -1,11 +1,13 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import hashing
-from textloom.operators import chunking, evaluation, index, package, questions, ranking, service
+from textloom.operators import chunking, evaluation, index, nearest, package, questions, ranking, service
+from textloom.plans import catalog
 from textloom.sources import blocks
 
 LONG = "Some words that make this piece of text long enough to be valid here"
@@ -231,3 +233,32 @@ def test_empty_query_reads_whole_documents(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {(r.q_id, r.score) for r in catalog.QUERIES["empty_query"](spark, str(tmp_path)).collect()} == {(2, 0.0), (4, 0.0)}
     spark.catalog.clearCache()
+
+
+def test_best_chunks(spark, sf_dir, monkeypatch):
+    """The floored search finds what comparing everything finds, and leaves most pairs without a score."""
+    monkeypatch.setattr(nearest, "HAY", 100)  # several blocks
+    c = catalog._chunks(spark, sf_dir, True).cache()
+    i = index.build_index(c)
+    asked = ranking.questions_of(questions.generate(c), "q_id", "prompt", "chunk_id").withColumnRenamed("chunk_id", "made_from")
+    odd = [(-1, "", None, []), (-2, "zzz", None, ["zzz"]), (-3, "x", -5, ["x", "the"]), (-4, "y", c.first()["chunk_id"], [])]
+    asked = asked.unionByName(spark.createDataFrame(odd, asked.schema)).cache()
+    row = lambda df: sorted((r.q_id, r.rank, r.chunk_id, r.score) for r in df.collect())
+    got = row(nearest.best_chunks(i, asked))
+    assert got == row(ranking.top_k(i, asked, 1)) and len(got) == asked.count()
+
+
+def test_few_pairs_pass(spark, sf_dir):
+    i = catalog._index(spark, sf_dir)
+    (data,) = nearest._blocks(i)
+    hay = nearest.Hay(data, i.corpus.first()["avgdl"])
+    # each chunk asks for its own first 20 words, spelled as they are, and for a word that no chunk has
+    asked = [hay.text(k).split()[:20] + ["zzzz"] for k in range(hay.n)]
+    needles = nearest.Needles(hay, asked)
+    every = np.repeat(np.arange(hay.n), hay.n), np.tile(np.arange(hay.n), hay.n)
+    score = needles.scores(*every).reshape(hay.n, hay.n)
+    floor = score.diagonal()
+    q, k = needles.passing(floor)
+    missed = score >= floor[:, None]
+    missed[q, k] = False
+    assert not missed.any() and len(q) < 0.1 * score.size
